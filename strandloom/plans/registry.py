@@ -1,0 +1,20 @@
+"""All queries of the core and the SQL they are held against."""
+
+from __future__ import annotations
+
+import importlib
+
+#: Modules with QUERIES and SQL.
+MODULES = ("problems",)
+
+
+def _modules():
+    return [importlib.import_module(f"strandloom.plans.{m}") for m in MODULES]
+
+
+def queries() -> dict:
+    return {name: q for m in _modules() for name, q in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in _modules() for name, sql in m.SQL.items()}

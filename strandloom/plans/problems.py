@@ -1,4 +1,8 @@
 """Queries of the general data problems."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from ..operators import line_parse, orphans
+
+QUERIES = line_parse.QUERIES | orphans.QUERIES
 SQL: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("group_splits", "survivors", "format_copies", "token_ids", "packing", "boundary_cuts")
+MODULES = ("group_splits", "monomer_match", "cross_split", "survivors", "format_copies", "token_ids", "packing", "boundary_cuts")
 
 
 def _modules():

@@ -28,7 +28,7 @@ def helm_meaning(helm) -> Column:
     connection's ends and of the connections, and what follows the last ``$``. Null stays null.
     """
     text = squeezed(helm)
-    text = F.when(text.contains("$"), F.regexp_replace(text, r"[^$]*$", "")).otherwise(text)
+    text = F.when(text.contains("$"), F.left(text, F.length(text) - F.length(F.substring_index(text, "$", -1)))).otherwise(text)
     parts = F.split(text, r"\$", -1)
     chain = lambda p: F.when(
         p.contains("{"),

@@ -14,7 +14,7 @@ def col(c) -> Column:
 
 def trimmed(c) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(col(c), f"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(col(c), f"^{SPACE}+|(?<!{SPACE}){SPACE}+$", "")
 
 
 def squeezed(c) -> Column:

@@ -1,4 +1,5 @@
 import re
+from datetime import datetime
 
 import pandas as pd
 import pytest
@@ -35,7 +36,7 @@ HELD = "row_id long, key string, since timestamp, until timestamp"
 
 
 def test_cascade(spark):
-    t = pd.Timestamp("2024-01-01")
+    t = datetime(2024, 1, 1)
     a = spark.createDataFrame([(1, "a", None, None), (2, "b", None, None)], HELD)
     b_refs = spark.createDataFrame([(10, t, "a"), (11, t, "gone"), (12, t, None)], KEYS)
     b = spark.createDataFrame([(10, "x", None, None), (11, "y", None, None), (12, "z", None, None), (13, "y2", None, None)], HELD)
@@ -47,7 +48,7 @@ def test_cascade(spark):
 
 
 def test_self_reference_and_empty(spark):
-    t = pd.Timestamp("2024-01-01")
+    t = datetime(2024, 1, 1)
     held = spark.createDataFrame([(1, "a", None, None), (2, "b", None, None), (3, "c", None, None)], HELD)
     refs = spark.createDataFrame([(1, t, "gone"), (2, t, "a"), (3, t, "b")], KEYS)
     got = o.orphan_cascade([o.Reference("t", refs, "t", held)])
@@ -56,7 +57,7 @@ def test_self_reference_and_empty(spark):
 
 
 def test_spans(spark):
-    t = lambda y: pd.Timestamp(f"{y}-01-01")
+    t = lambda y: datetime(y, 1, 1)
     held = spark.createDataFrame([(1, "s", t(2020), t(2021)), (2, "s", t(2023), None)], HELD)
     refs = spark.createDataFrame([(1, t(2019), "s"), (2, t(2020), "s"), (3, t(2021), "s"), (4, t(2023), "s"), (5, None, "s"), (6, None, "no")], KEYS)
     got = o.orphan_cascade([o.Reference("c", refs, "p", held)])

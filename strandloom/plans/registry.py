@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES and SQL.
-MODULES = ("problems",)
+MODULES = ("problems", "helm_queries", "curate_queries", "split_queries")
 
 
 def _modules():

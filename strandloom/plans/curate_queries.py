@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import helm as h
 from ..operators import curate as c
+from ..operators.joins import lookup_join
 from .helm_queries import LINKED, WS, read
 
 QUERIES: dict = {}
@@ -36,7 +37,7 @@ def helm_dedup(spark, sf_dir):
     return c.deduplicate(_normal(spark, sf_dir).drop("row_id"), ["helm", "smiles"], ["compound_chembl_id"])
 
 
-@query(f"WITH {_N} SELECT helm, array_to_string(list_sort(list(DISTINCT trim(compound_chembl_id))), ';') AS a, min(compound_chembl_id) AS compound_chembl_id, min_by(row_id, (compound_chembl_id, row_id)) AS row_id, 'compound_chembl_id=' || array_to_string(list_sort(list(DISTINCT trim(compound_chembl_id))), ';') || '|row_id=' || array_to_string(list_sort(list(DISTINCT CAST(row_id AS VARCHAR))), ';') AS source_ids, count(*) AS n_rows FROM k WHERE helm IS NOT NULL GROUP BY helm".replace("array_to_string(list_sort(list(DISTINCT trim(compound_chembl_id))), ';') AS a, ", "", 1))
+@query(f"WITH {_N} SELECT helm, min(compound_chembl_id) AS compound_chembl_id, min_by(row_id, (compound_chembl_id, row_id)) AS row_id, 'compound_chembl_id=' || array_to_string(list_sort(list(DISTINCT trim(compound_chembl_id))), ';') || '|row_id=' || array_to_string(list_sort(list(DISTINCT CAST(row_id AS VARCHAR))), ';') AS source_ids, count(*) AS n_rows FROM k WHERE helm IS NOT NULL GROUP BY helm")
 def helm_dedup_two_ids(spark, sf_dir):
     """A6 with several id columns."""
     return c.deduplicate(_normal(spark, sf_dir).drop("smiles"), ["helm"], ["compound_chembl_id", "row_id"])
@@ -167,8 +168,6 @@ _DIM = "d AS (SELECT target_chembl_id, arg_min(target_accession, row_id) FILTER
 @query(f"WITH {_POS}, {_DIM} SELECT pos.row_id, compound_chembl_id, target_chembl_id, accession, family FROM pos JOIN d USING (target_chembl_id)")
 def positives_with_attributes(spark, sf_dir):
     """Pairs with the first known attributes of their target."""
-    from ..operators.joins import lookup_join
-
     dim = c.first_known(read(spark, sf_dir, "chembl_ppi").select("target_chembl_id", "target_accession", "protein_class_desc", "row_id"), "target_chembl_id", ["target_accession", "protein_class_desc"], "row_id")
     dim = dim.select("target_chembl_id", F.col("target_accession").alias("accession"), c.family("protein_class_desc").alias("family"))
     return lookup_join(positive_pairs(spark, sf_dir), dim, ["target_chembl_id"], 200).select("row_id", "compound_chembl_id", "target_chembl_id", "accession", "family")
@@ -240,7 +239,7 @@ def library_merge(spark, sf_dir):
     return one.groupBy("core", "n_rgroups", "monomer_type").agg(F.min_by("symbol", F.struct("generic", "symbol")).alias("symbol"), F.array_join(F.sort_array(F.collect_set("symbol")), ";").alias("symbols"), F.array_join(F.sort_array(F.collect_set("source")), "+").alias("source"))
 
 
-@query("SELECT monomer_id, concat_ws(', ', CASE WHEN symbol IS NULL OR symbol = '' THEN 'symbol' END, CASE WHEN smiles IS NULL OR smiles = '' THEN 'smiles' END, CASE WHEN monomer_type NOT IN ('Backbone', 'Terminal', 'Branch', 'Undefined') THEN 'type' END, CASE WHEN n_rgroups <> len(regexp_extract_all(smiles, '\\[\\*:[0-9]+\\]')) THEN 'groups' END, CASE WHEN count(*) OVER (PARTITION BY symbol) > 1 THEN 'collision' END) AS faults FROM monomer_library QUALIFY faults <> ''".replace("\\\\", "\\"))
+@query(r"SELECT monomer_id, concat_ws(', ', CASE WHEN symbol IS NULL OR symbol = '' THEN 'symbol' END, CASE WHEN smiles IS NULL OR smiles = '' THEN 'smiles' END, CASE WHEN monomer_type NOT IN ('Backbone', 'Terminal', 'Branch', 'Undefined') THEN 'type' END, CASE WHEN n_rgroups <> len(regexp_extract_all(smiles, '\[\*:[0-9]+\]')) THEN 'groups' END, CASE WHEN count(*) OVER (PARTITION BY symbol) > 1 THEN 'collision' END) AS faults FROM monomer_library QUALIFY faults <> ''")
 def library_faults(spark, sf_dir):
     """V4: entries that break a rule of the library (an empty result would be a clean one)."""
     lib = read(spark, sf_dir, "monomer_library")
@@ -250,10 +249,8 @@ def library_faults(spark, sf_dir):
     return lib.join(twice, "symbol", "left").select("monomer_id", faults.alias("faults")).where("faults <> ''")
 
 
-@query("SELECT row_id, symbol_rank, compound_chembl_id FROM (SELECT row_id, compound_chembl_id, CAST(row_number() OVER (ORDER BY standard_value DESC NULLS LAST, row_id) AS INT) AS symbol_rank FROM chembl_ppi) WHERE symbol_rank <= 100".replace("symbol_rank", "place"))
+@query("SELECT row_id, place, compound_chembl_id FROM (SELECT row_id, compound_chembl_id, CAST(row_number() OVER (ORDER BY standard_value DESC NULLS LAST, row_id) AS INT) AS place FROM chembl_ppi) WHERE place <= 100")
 def top_values(spark, sf_dir):
     """O1, O3: the 100 largest values in a total order."""
     top = read(spark, sf_dir, "chembl_ppi").select("row_id", "compound_chembl_id", "standard_value").orderBy(F.desc_nulls_last("standard_value"), "row_id").limit(100)
-    from pyspark.sql import Window
-
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("standard_value"), "row_id"))).select("row_id", "place", "compound_chembl_id")

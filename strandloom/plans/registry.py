@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES and SQL.
-MODULES = ("problems", "helm_queries", "curate_queries", "split_queries")
+MODULES = ("problems", "helm_queries", "curate_queries", "split_queries", "model_queries", "chem_queries")
 
 
 def _modules():

@@ -191,4 +191,13 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_report": p4_report}
-SQL: dict[str, str] = {}
+_NEAR = lambda a, b: f"({a} = {b} OR (abs(length({a}) - length({b})) <= 0.05 * greatest(length({a}), length({b})) AND levenshtein({a}, {b}) <= floor(0.05 * greatest(length({a}), length({b})) + 1e-9)))"
+_PAIRS = f"""
+WITH r AS (SELECT row_id, split, source, canonical_smiles AS s, target_sequence AS t FROM ppi_split WHERE trim(canonical_smiles) <> '' AND trim(target_sequence) <> ''), d AS (SELECT DISTINCT t FROM r),
+tp AS (SELECT a.t AS a, b.t AS b FROM d a JOIN d b ON {_NEAR('a.t', 'b.t')}),
+p AS (SELECT x.row_id AS xa, y.row_id AS ya, y.split, y.source, x.s AS sa, y.s AS sb FROM r x JOIN tp ON x.t = tp.a JOIN r y ON y.t = tp.b WHERE x.split = 'train' AND y.split IN ('valid', 'test')),
+f AS (SELECT * FROM p WHERE {_NEAR('sa', 'sb')})"""
+SQL = {
+    "p4_found": f"{_PAIRS} SELECT least(xa, ya) AS row_id_a, greatest(xa, ya) AS row_id_b FROM f",
+    "p4_report": f"{_PAIRS} SELECT split, source, count(*) AS n_pairs, count(DISTINCT ya) AS n_rows FROM f GROUP BY 1, 2",
+}

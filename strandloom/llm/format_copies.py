@@ -70,4 +70,17 @@ def p6_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_collapsed": p6_collapsed}
-SQL: dict[str, str] = {}
+#: White space for DuckDB's regular expressions.
+SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x{000B}\x{001C}-\x{001F}]"
+_END = lambda c, i, j: f"regexp_extract({c}, '^([^,]+),([^,]+),([^-]+)-(.+)$', {i}) || ':' || regexp_extract({c}, '^([^,]+),([^,]+),([^-]+)-(.+)$', {j})"
+_COPIES = rf"""
+WITH a AS (SELECT row_id, target_chembl_id, standard_type, relation, standard_value, regexp_replace(helm_notation, '{SPACE}', '', 'g') AS h, regexp_replace(normalized_smiles, '{SPACE}', '', 'g') AS s FROM chembl_ppi),
+b AS (SELECT * REPLACE (string_split(CASE WHEN contains(h, '$') THEN regexp_replace(h, '[^$]*$', '') ELSE h END, '$') AS h, array_to_string(list_sort(string_split(string_split(s, '|')[1], '.')), '.') AS s) FROM a WHERE h <> '' AND s <> ''),
+c AS (SELECT row_id, target_chembl_id, standard_type, relation, standard_value, s,
+  list_transform(string_split(h[1], '|'), lambda p: CASE WHEN contains(p, '{{') THEN upper(string_split(p, '{{')[1]) || '{{' || array_to_string(list_transform(string_split(rtrim(string_split(p, '{{')[2], '}}'), '.'), lambda m: regexp_replace(m, '^\[(\pL)\]$', '\1')), '.') ELSE p END) AS chains,
+  list_sort(list_transform(list_filter(string_split(upper(coalesce(h[2], '')), '|'), lambda x: x <> ''), lambda x: CASE WHEN {_END('x', 1, 3)} < {_END('x', 2, 4)} THEN {_END('x', 1, 3)} || '-' || {_END('x', 2, 4)} ELSE {_END('x', 2, 4)} || '-' || {_END('x', 1, 3)} END)) AS links, h[3:] AS rest FROM b),
+g AS (SELECT *, min(row_id) OVER w AS first_row_id, count(*) OVER w AS n FROM c WINDOW w AS (PARTITION BY chains, links, rest, s, target_chembl_id, standard_type, relation, standard_value))"""
+SQL = {
+    "p6_found": f"{_COPIES} SELECT first_row_id, row_id FROM g WHERE row_id <> first_row_id",
+    "p6_collapsed": f"{_COPIES} SELECT first_row_id, n AS n_copies FROM g WHERE row_id = first_row_id",
+}

@@ -152,4 +152,13 @@ def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_assignments": p1_assignments, "p1_shares": p1_shares}
-SQL: dict[str, str] = {}
+#: White space for DuckDB's regular expressions.
+SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x{000B}\x{001C}-\x{001F}]"
+SQL = {
+    "p1_found": rf"""
+WITH RECURSIVE m AS (SELECT DISTINCT 'target' AS key_kind, target_chembl_id AS member, nullif(lower(regexp_replace(protein_class_desc, '{SPACE}', '', 'g')), '') AS link FROM chembl_ppi WHERE trim(target_chembl_id) <> ''
+  UNION SELECT DISTINCT 'scaffold', regexp_replace(scaffold, '^{SPACE}+|{SPACE}+$', '', 'g') AS member, nullif(regexp_replace(helm, '^{SPACE}+|{SPACE}+$', '', 'g'), '') FROM permeability_peptides WHERE regexp_replace(scaffold, '{SPACE}', '', 'g') NOT IN ('', '__no_scaffold__')),
+e AS (SELECT DISTINCT a.key_kind, a.member AS x, b.member AS y FROM m a JOIN m b ON a.key_kind = b.key_kind AND a.link = b.link AND a.member <> b.member),
+reach AS (SELECT key_kind, x, y FROM e UNION SELECT r.key_kind, r.x, e.y FROM reach r JOIN e ON r.key_kind = e.key_kind AND r.y = e.x)
+SELECT key_kind, x AS member, least(x, min(y)) AS group_key FROM reach GROUP BY 1, 2"""
+}

@@ -107,4 +107,11 @@ def p5_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_survivors": p5_survivors}
-SQL: dict[str, str] = {}
+_GAP = lambda c: f"({c} IS NULL OR lower(trim({c}, e' \\t\\n')) IN ('', 'na', 'n/a', 'none', '-', '?'))"
+_IDS = "len(list_distinct(list_filter(list_transform(string_split(source_ids, ';'), lambda x: trim(x, e' \\t\\n')), lambda x: x <> '')))"
+SQL = {
+    "p5_found": f"""
+WITH r AS (SELECT trim(helm_notation, e' \\t\\n') AS h, record_id, coalesce(trust, 0) AS t, coalesce(epoch_us(updated_at), -4000000000000000000) AS w, {_GAP('normalized_smiles')} AS no_s, {_GAP('source_ids')} AS no_i, {_GAP('molecule_type')} AS no_m, {_IDS} AS k FROM compound_records LEFT JOIN source_trust USING (source))
+SELECT min(record_id) AS group_id, arg_min(record_id, row(-t, -w, record_id)) FILTER (NOT no_s) AS smiles_from, arg_min(record_id, row(-k, -t, -w, record_id)) FILTER (NOT no_i) AS source_ids_from, arg_min(record_id, row(-w, -t, record_id)) FILTER (NOT no_m) AS type_from
+FROM r WHERE h <> '' GROUP BY h HAVING count(*) > 1"""
+}

@@ -144,12 +144,12 @@ def usable_sequence(seq) -> Column:
 
 def sequence_to_helm(seq) -> Column:
     s = usable_sequence(seq)
-    return F.coalesce(F.concat(F.lit("PEPTIDE1{"), F.array_join(F.split(s, "(?!^)"), "."), F.lit("}$$$$")), F.lit(""))
+    return F.coalesce(F.concat(F.lit("PEPTIDE1{"), F.array_join(F.split(s, "(?!^)(?!$)"), "."), F.lit("}$$$$")), F.lit(""))
 
 
 def sequence_to_smiles(seq) -> Column:
     s = usable_sequence(seq)
-    return F.coalesce(F.concat(F.array_join(F.transform(F.split(s, "(?!^)"), lambda a: F.try_element_at(map_column(RESIDUES), a)), ""), F.lit("O")), F.lit(""))
+    return F.coalesce(F.concat(F.array_join(F.transform(F.split(s, "(?!^)(?!$)"), lambda a: F.try_element_at(map_column(RESIDUES), a)), ""), F.lit("O")), F.lit(""))
 
 
 def design_monomer(m: Column) -> Column:

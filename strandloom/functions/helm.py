@@ -66,7 +66,7 @@ def monomers(helm) -> Column:
     """Monomers of all PEPTIDE chains in order, trimmed, without their brackets; null if there is no such chain."""
     blocks = F.regexp_extract_all(col(helm), F.lit(BLOCK), F.lit(1))
     parts = F.flatten(F.transform(blocks, lambda b: F.split(b, r"\.")))
-    return F.when(F.size(blocks) > 0, F.transform(F.filter(F.transform(parts, F.trim), lambda m: m != ""), strip_brackets))
+    return F.when(F.size(blocks) > 0, F.transform(F.filter(F.transform(parts, lambda m: F.trim(m)), lambda m: m != ""), strip_brackets))
 
 
 def chain_ids(helm) -> Column:

@@ -52,4 +52,6 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use every core for costly per-row work: repartition only where the scan has fewer splits than
     the cluster has cores (small inputs). Large inputs have enough splits and are not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming:
+        return df
     return df.repartition(2 * cores, *keys) if df.rdd.getNumPartitions() < cores else df

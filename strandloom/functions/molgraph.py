@@ -17,6 +17,8 @@ ORDERS = {"-": 1, "=": 2, "#": 3, "$": 1, ":": AROMATIC_BOND, "/": 1, "\\": 1, "
 #: Usual valences (fixed values).
 VALENCES = {"B": (3,), "C": (4,), "N": (3, 5), "O": (2,), "P": (3, 5), "S": (2, 4, 6), "F": (1,), "Cl": (1,), "Br": (1,), "I": (1,)}
 HYDROGEN = -1
+#: Larger structures are not read: canonical order takes the square of the size.
+MAX_ATOMS = 2000
 _R_GROUP = re.compile(r"\[R(\d*)\]")
 
 
@@ -129,6 +131,8 @@ def parse(text: str | None) -> Molecule:
             bond = None
     if stack or rings:
         raise NoMolecule("ring" if rings else "parenthesis")
+    if not 0 < len(m.atoms) <= MAX_ATOMS:
+        raise NoMolecule("size")
     _single_between_rings(m)
     _fill_hydrogens(m)
     _name_groups(m, text or "")

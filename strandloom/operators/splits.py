@@ -145,17 +145,22 @@ def negative_pairs(positives: DataFrame, left: str, right: str, per_positive: in
         draws *= 2
 
 
+def running_sum(df: DataFrame, value, order: list, out: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows up to this one in a total order, without one task that sees all rows:
+    sums within range partitions, plus those of the partitions before (one number each)."""
+    df = written(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sums = {r["_p"]: r["n"] for r in df.groupBy("_p").agg(F.sum(value).alias("n")).collect()}  # one row per partition
+    start, before = 0, {}
+    for p in sorted(sums):
+        before[p], start = start, start + sums[p]
+    inside = F.sum(value).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    offset = F.element_at(F.create_map(*[F.lit(x) for p, o in before.items() for x in (p, o)]), F.col("_p")) if before else F.lit(0)
+    return df.withColumn(out, (inside + offset).cast("long")).drop("_p")
+
+
 def numbered(df: DataFrame, column: str) -> DataFrame:
     """(column, number from 0 in the order of the column), by range partitions and their offsets."""
-    df = written(df.repartitionByRange(column).sortWithinPartitions(column).withColumn("_p", F.spark_partition_id()), "numbered")
-    sizes = {r["_p"]: r["n"] for r in df.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # one row per partition
-    start, offsets = 0, {}
-    for p in sorted(sizes):
-        offsets[p], start = start, start + sizes[p]
-    if not offsets:
-        return df.select(column, F.lit(0).cast("long").alias("number"))
-    table = F.create_map(*[F.lit(x) for p, o in offsets.items() for x in (p, o)])
-    return df.select(column, (F.row_number().over(Window.partitionBy("_p").orderBy(column)) - 1 + F.element_at(table, F.col("_p"))).cast("long").alias("number"))
+    return running_sum(df.select(column), F.lit(1), [F.col(column)], "number").select(column, (F.col("number") - 1).alias("number"))
 
 
 STRATEGIES = {"small_first": ["n ASC"], "large_first": ["n DESC"], "two_assays_first": ["both_assays DESC", "n ASC"], "seeded": []}
@@ -167,9 +172,8 @@ def scaffold_orders(groups: DataFrame, ratio: float, seed: str = "scaffold") ->
     total = groups.agg(F.round(F.sum("n") * ratio).cast("long").alias("goal"))
     out = None
     for name, order in STRATEGIES.items():
-        cols = [F.expr(o.split()[0]).asc() if o.endswith("ASC") else F.expr(o.split()[0]).desc() for o in order] + [md5_order(seed, "scaffold")]
-        w = Window.partitionBy("strategy").orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)
-        one = groups.withColumn("strategy", F.lit(name)).withColumn("running", F.sum("n").over(w))
+        cols = [F.expr(o.split()[0]).asc() if o.endswith("ASC") else F.expr(o.split()[0]).desc() for o in order] + [F.col("_o")]
+        one = running_sum(groups.withColumn("strategy", F.lit(name)).withColumn("_o", md5_order(seed, "scaffold")), F.col("n"), cols, "running")
         out = one if out is None else out.unionByName(one)
     return out.crossJoin(F.broadcast(total)).withColumn("in_test", F.col("running") <= F.col("goal")).select("strategy", "scaffold", "n", "running", "goal", "in_test")
 

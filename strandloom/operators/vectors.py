@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import md5_order
 
@@ -41,6 +41,27 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+#: Queries that go to all vectors at once.
+BLOCK = 4096
+
+
+def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, block: int = BLOCK) -> DataFrame:
+    """(query_id, key, similarity): the k most similar rows of each query by cosine, itself left out, ties by key.
+
+    A stated set of queries is sent to the rows in blocks of a fixed size; each task keeps k rows per query before
+    anything is shuffled.
+    """
+    q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_q"))
+    blocks, out = max(1, -(-q.count() // block)), None
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
+    for b in range(blocks):
+        part = F.broadcast(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))
+        pairs = rows.join(part, F.col("query_id") != F.col(key)).select("query_id", key, F.round(cosine(F.col("_q"), F.col(vector)), 6).alias("similarity"))
+        best = pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
 def mean_pooled(vectors: Column, mask: Column, size: int) -> Column:
     """Mean of the vectors whose mask is 1; the count is at least 1e-9."""
     n = F.greatest(F.aggregate(mask, F.lit(0.0), lambda s, x: s + x), F.lit(1e-9))

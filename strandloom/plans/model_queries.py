@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import stats as st
 from ..functions.helm import clean
@@ -201,12 +201,9 @@ _DOT = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST
 
 @query(f"WITH e AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id AS query_id, e.vec_id AS vec_id, round({_DOT('q.embedding', 'e.embedding')} / sqrt({_DOT('q.embedding', 'q.embedding')} * {_DOT('e.embedding', 'e.embedding')}), 6) AS similarity FROM q JOIN e ON q.vec_id <> e.vec_id) SELECT query_id, vec_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS r FROM s) WHERE r <= 5")
 def nearest_vectors(spark, sf_dir):
-    """The five nearest by cosine of each 50th vector, against all. Queries are sent to the vectors in one block."""
+    """The five nearest by cosine of each 50th vector, against all."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = e.join(F.broadcast(queries), F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(v.cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return pairs.withColumn("r", F.row_number().over(w)).where("r <= 5").drop("r")
+    return v.nearest(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 5)
 
 
 @query("WITH e AS (SELECT label, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings), t AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i, vec_id FROM e) SELECT label, CAST(i - 1 AS INT) AS dim, round(avg(CASE WHEN vec_id % 3 <> 0 THEN CAST(x AS DOUBLE) END), 6) AS mean FROM t WHERE i <= 4 GROUP BY 1, 2")

@@ -55,9 +55,9 @@ def test_scaffold(text, want):
     assert g.scaffold(g.parse(text)) == (g.canonical_smiles(want) or "")
 
 
-@pytest.mark.parametrize("text", ["", None, "C1CC", "C(", "[Zz]", "CC)", "=", "1CC1", "C11", "((((", "C" * 2000])
+@pytest.mark.parametrize("text", ["", None, "C1CC", "C(", "[Zz]", "CC)", "=", "1CC1", "C11", "((((", "C" * 3000])
 def test_odd_texts(text):
-    assert g.canonical_smiles(text) is None or text in ("=", "C" * 2000)
+    assert g.canonical_smiles(text) is None
 
 
 def test_neighbours_against_all_pairs(spark):

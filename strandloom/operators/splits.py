@@ -53,11 +53,11 @@ def stratified_split(df: DataFrame, key: str, stratum: str, ratio: float, seed:
     share = sizes.crossJoin(F.broadcast(total)).withColumn("low", F.floor(exact + 1e-9)).withColumn("rest", F.round(exact - F.col("low"), 9))
     w = Window.partitionBy(F.lit(1))
     place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("rest"), stratum))
-    share = share.withColumn("k", F.col("low") + (place <= F.ceil(F.lit(ratio) * F.col("all") - 1e-9) - F.sum("low").over(w)).cast("int")).select(stratum, "k")
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy(stratum).orderBy("_b")) - F.col("n")).select(stratum, "_b", "before")
-    rank = F.row_number().over(Window.partitionBy(stratum, "_b").orderBy("_o")) + F.col("before")
-    ranked = df.join(before, [stratum, "_b"]).join(F.broadcast(share), stratum).withColumn("split", F.when(rank <= F.col("k"), "test").otherwise("train"))
-    return ranked.drop("_o", "_b", "before", "k")
+    share = share.withColumn("_k", F.col("low") + (place <= F.ceil(F.lit(ratio) * F.col("all") - 1e-9) - F.sum("low").over(w)).cast("int")).select(stratum, "_k")
+    before = counts.withColumn("_before", F.sum("n").over(Window.partitionBy(stratum).orderBy("_b")) - F.col("n")).select(stratum, "_b", "_before")
+    rank = F.row_number().over(Window.partitionBy(stratum, "_b").orderBy("_o")) + F.col("_before")
+    ranked = df.join(before, [stratum, "_b"]).join(F.broadcast(share), stratum).withColumn("split", F.when(rank <= F.col("_k"), "test").otherwise("train"))
+    return ranked.drop("_o", "_b", "_before", "_k")
 
 
 def shuffled(df: DataFrame, key: str, seed: str) -> DataFrame:

@@ -75,3 +75,11 @@ def majority(df: DataFrame, member: str, split: str, order: list[str]) -> DataFr
     n = df.groupBy(member, split).agg(F.count("*").alias("_n"))
     best = n.groupBy(member).agg(F.max_by(split, F.struct("_n", -rank)).alias(split))
     return df.join(best, [member, split], "left_semi")
+
+
+def require(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The table itself, if it has the columns; an error that names those it lacks otherwise."""
+    lacking = [c for c in columns if c not in df.columns]
+    if lacking:
+        raise ValueError(f"missing columns: {', '.join(lacking)}")
+    return df

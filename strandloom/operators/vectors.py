@@ -101,3 +101,38 @@ def with_embedding(rows: DataFrame, text: str, stored: DataFrame, strict: bool =
     """Rows with the stored vector of their text; a missing one is an error, or null."""
     got = rows.withColumn("key", F.md5(text)).join(stored.select("key", "vector"), "key", "left")
     return got.withColumn("vector", F.coalesce("vector", F.raise_error(F.concat(F.lit("no embedding for "), "key")).cast("array<float>"))) if strict else got
+
+
+def nearest_distance(queries: DataFrame, rows: DataFrame, key: str, vector: str, block: int = BLOCK) -> DataFrame:
+    """(query_id, distance): Euclidean distance of each query to the next other row, queries in blocks of fixed size."""
+    q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_q"))
+    blocks, out = max(1, -(-q.count() // block)), None
+    square = F.aggregate(F.zip_with("_q", vector, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    for b in range(blocks):
+        part = F.broadcast(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))
+        best = rows.join(part, F.col("query_id") != F.col(key)).groupBy("query_id").agg(F.sqrt(F.min(square)).alias("distance"))
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+def mlp(df: DataFrame, key: str, vector: str, weights: list[list[float]], projection: list[float]) -> DataFrame:
+    """(key, output): gelu(x W) + x, projected. Whole batches go through numpy."""
+    import numpy as np
+
+    w, p = np.array(weights), np.array(projection)
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            x = np.array(b.column(1).to_pylist(), float).reshape(len(b), len(w))
+            u = x @ w
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((u / (1 + np.exp(-1.702 * u)) + x) @ p)], [key, "output"])
+
+    return df.select(key, vector).mapInArrow(run, f"`{key}` {kind}, output double")
+
+
+def embedding_inputs(rows: DataFrame, text: str, stored: DataFrame | None, tokenise) -> DataFrame:
+    """Stored vectors where a store is given, else token ids by ``tokenise``."""
+    return with_embedding(rows, text, stored) if stored is not None else tokenise(rows)

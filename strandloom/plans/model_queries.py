@@ -225,3 +225,50 @@ def fused_vectors(spark, sf_dir):
     """Features put together."""
     c = F.concat(F.transform("embedding", lambda x: x.cast("double")), F.array(F.col("label").cast("double")))
     return read(spark, sf_dir, "embeddings").select("vec_id", F.round(c[0], 6).alias("first"), F.size(c).alias("size"))
+
+
+@query(f"WITH {_IDS}, t AS (SELECT row_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM e), m AS (SELECT id, CASE WHEN md5(row_id || ':' || i) < '2' THEN id ELSE -100 END AS label, CASE WHEN md5(row_id || '/' || i) < 'c' THEN id ELSE 4 END AS pred FROM t) SELECT CAST(count_if(label <> -100) AS BIGINT) AS n, round(avg(CASE WHEN label <> -100 THEN CAST(pred = label AS INT) END), 6) AS accuracy FROM m")
+def masked_accuracy(spark, sf_dir):
+    """Accuracy over the tokens that carry a label (labels and predictions drawn by hash)."""
+    t = _encoded(spark, sf_dir).select("row_id", F.posexplode("ids").alias("i", "id")).withColumn("i", F.col("i") + 1)
+    draw = lambda sep: F.md5(F.concat_ws(sep, F.col("row_id").cast("string"), F.col("i").cast("string")))
+    label, pred = F.when(draw(":") < "2", F.col("id")).otherwise(-100), F.when(draw("/") < "c", F.col("id")).otherwise(4)
+    return t.select(label.alias("label"), pred.alias("pred")).agg(F.count_if(F.col("label") != -100).alias("n"), F.round(F.avg(F.when(F.col("label") != -100, (F.col("pred") == F.col("label")).cast("int"))), 6).alias("accuracy"))
+
+
+@query("WITH a AS (SELECT split, label AS y, (row_id * 37 % 11) / 11.0 + label * 0.1 AS p, (row_id % 7) / 7.0 AS u FROM ppi_split WHERE label IS NOT NULL) SELECT split, count(*) AS n, round(avg(u), 6) AS uncertainty, round(avg(CAST((p > 0.5) = (y = 1) AS INT)), 6) AS accuracy, CASE WHEN count(DISTINCT y) > 1 THEN round(sqrt(avg((y - p) ** 2)), 6) END AS rmse FROM a GROUP BY split")
+def epoch_metrics(spark, sf_dir):
+    """The predictions of an epoch per split, in one aggregation."""
+    p, u, y = (F.col("row_id") * 37 % 11) / F.lit(11.0) + F.col("label") * F.lit(0.1), (F.col("row_id") % 7) / F.lit(7.0), F.col("label")
+    rows = read(spark, sf_dir, "ppi_split").where("label IS NOT NULL").select("split", y.alias("y"), p.alias("p"), u.alias("u"))
+    err = F.col("y") - F.col("p")
+    return rows.groupBy("split").agg(F.count("*").alias("n"), F.round(F.avg("u"), 6).alias("uncertainty"), F.round(F.avg(((F.col("p") > 0.5) == (F.col("y") == 1)).cast("int")), 6).alias("accuracy"), F.when(F.min("y") != F.max("y"), F.round(F.sqrt(F.avg(err * err)), 6)).alias("rmse"))
+
+
+@query("SELECT label, count(*) AS n, array_to_string(list_sort(list(vec_id)), ' ') AS members FROM embeddings GROUP BY label")
+def group_members(spark, sf_dir):
+    """Members of each group in order (a report; operators keep members as rows)."""
+    return read(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("vec_id")), " ").alias("members"))
+
+
+@query("WITH s AS (SELECT label, CAST(vec_id AS INT) AS vec_id, CAST(embedding[1] AS DOUBLE) AS x, exp(CAST(embedding[2] AS DOUBLE)) AS w FROM embeddings) SELECT label, round(sum(x * w) / sum(w), 6) AS pooled FROM s WHERE vec_id % 3 <> 0 GROUP BY label")
+def attention_pool(spark, sf_dir):
+    """Softmax-weighted mean over the vectors that are not masked."""
+    s = read(spark, sf_dir, "embeddings").where("vec_id % 3 <> 0").select("label", F.col("embedding")[0].cast("double").alias("x"), F.exp(F.col("embedding")[1].cast("double")).alias("w"))
+    return s.groupBy("label").agg(F.round(F.sum(F.col("x") * F.col("w")) / F.sum("w"), 6).alias("pooled"))
+
+
+@query("WITH e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 50 = 0), d AS (SELECT q.vec_id, min(sqrt((q.x - e.x) ** 2 + (q.y - e.y) ** 2)) AS d FROM q JOIN e ON q.vec_id <> e.vec_id GROUP BY 1) SELECT count(*) AS n, round(quantile_cont(d, 0.25), 6) AS spacing, round(least(greatest(quantile_cont(d, 0.25) * 40, 2), 40), 6) AS point_size FROM d")
+def point_spacing(spark, sf_dir):
+    """How far the next point is, as a quantile over every 50th point, and a size to draw with."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.array(F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")).alias("xy"))
+    d = v.nearest_distance(e.where("vec_id % 50 = 0"), e, "vec_id", "xy")
+    q = F.percentile("distance", F.lit(0.25))
+    return d.agg(F.count("*").alias("n"), F.round(q, 6).alias("spacing"), F.round(F.least(F.greatest(q * 40, F.lit(2.0)), F.lit(40.0)), 6).alias("point_size"))
+
+
+@query("WITH x AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings), h AS (SELECT vec_id, a, b, a + b AS u, a - b AS w FROM x) SELECT vec_id, round(0.5 * (u / (1 + exp(-1.702 * u)) + a) - 0.25 * (w / (1 + exp(-1.702 * w)) + b), 6) AS output FROM h")
+def mlp_head(spark, sf_dir):
+    """A layer with identity skip and a (sigmoid-form) GELU, then a projection, as Arrow batches."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.array(F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")).alias("x"))
+    return v.mlp(rows, "vec_id", "x", [[1.0, 1.0], [1.0, -1.0]], [0.5, -0.25]).select("vec_id", F.round("output", 6).alias("output"))

@@ -160,9 +160,14 @@ def overlaps(df: DataFrame, hot_rows: int = 50_000) -> tuple[DataFrame, DataFram
     members = written(keyed_join(keyed, records.select("family", "s", "record_id"), ["family", "s"], hot_keys(keyed, ["family", "s"], keyed.count(), hot_rows)).select("row_id", "split", "source", "record_id", "q", "family"), "members")
     # A family without rows on both sides has no pair.
     both = records.groupBy("family").agg(F.max("in_train").alias("t"), F.max("in_eval").alias("e")).where("t AND e").select("family")
-    signed = banded(records.join(both, "family", "left_semi").select("record_id", "family", "in_train", "in_eval", "smiles"), "smiles", SMILES_LSH)
-    side = lambda flag, x: signed.where(flag).select(F.xxhash64("family", "band", "bucket").alias("key"), "family", F.col("record_id").alias(f"record_{x}"), F.col("n_chars").alias(f"n_{x}"))
-    met = side("in_train", "a").join(side("in_eval", "b"), ["key", "family"]).where(F.abs(F.col("n_a") - F.col("n_b")) <= allowed(F.col("n_a"), F.col("n_b")))
+    shared = records.join(both, "family", "left_semi")
+
+    def side(flag: str, x: str) -> DataFrame:
+        signed = banded(shared.where(flag).select("record_id", "family", "smiles"), "smiles", SMILES_LSH)
+        return signed.select(F.xxhash64("family", "band", "bucket").alias("key"), F.col("record_id").alias(f"record_{x}"), F.col("n_chars").alias(f"n_{x}"))
+
+    # Should two families ever share a key by chance, the check of their sequences at the end parts them.
+    met = side("in_train", "a").join(side("in_eval", "b"), "key").where(F.abs(F.col("n_a") - F.col("n_b")) <= allowed(F.col("n_a"), F.col("n_b")))
     candidates = met.select("record_a", "record_b").distinct()
     for x in "ab":
         candidates = candidates.join(records.select(F.col("record_id").alias(f"record_{x}"), F.col("smiles").alias(f"text_{x}")), f"record_{x}")

@@ -64,6 +64,7 @@ def pack(demand: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def cut_to_size(sizes: DataFrame, key: str, capacity: int) -> DataFrame:
     """One row per item, or per piece of ``capacity`` tokens (the last one shorter) of a larger item."""
+    sizes = sizes.withColumn("n_tokens", F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)))  # nothing known is no tokens
     last = F.greatest(F.ceil(F.col("n_tokens") / capacity) - 1, F.lit(0))
     return sizes.select(key, "n_tokens", F.explode(F.sequence(F.lit(0), last)).alias("piece_no")).select(
         key, F.col("piece_no").cast("int").alias("piece_no"), (F.col("piece_no") * capacity).cast("long").alias("start_token"), F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece_no") * capacity).cast("long").alias("n_tokens")

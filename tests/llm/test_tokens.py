@@ -64,6 +64,11 @@ def test_containers(spark, bucket, segments):
         assert got.n_tokens.sum() / (got.container_id.nunique() * 2048) > 0.97
 
 
+def test_containers_of_unknown_sizes(spark):
+    got = p.containers(spark.createDataFrame([(1, None), (None, 5), (1, 5), (1, 5)], "doc_id long, n_tokens long"))
+    assert sorted(r.n_tokens for r in got.collect()) == [0, 5, 5, 5] and got.select("container_id").distinct().count() == 1
+
+
 def test_containers_of_nothing(spark):
     assert p.containers(spark.createDataFrame([], "doc_id long, n_tokens long")).count() == 0
 

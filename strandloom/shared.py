@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,15 +11,35 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 
 
+#: Folders made for local applications whose session names none.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one is set only where the session names none."""
-    at = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+    """The folder the session names; a local application without one gets a temporary folder, a cluster an error."""
+    at = spark.conf.get(SETTING, None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="strandloom-")
-        spark.conf.set(SETTING, at)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"{SETTING} must name a folder that all executors share")
+        ident = spark.sparkContext.applicationId
+        at = _OWN.get(ident) or _OWN.setdefault(ident, "file://" + tempfile.mkdtemp(prefix="strandloom-"))
     return at.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/strandloom/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete every table this application has kept; results that read them must have been used or saved before."""
+    _delete(spark, _folder(spark))
+
+
 class Kept:
     """A table in the shared folder: ``df`` reads it, ``drop()`` deletes its files."""
 
@@ -27,9 +48,7 @@ class Kept:
         self.df = spark.read.schema(schema).parquet(path)
 
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(self.spark, self.path)
 
 
 def keep(df: DataFrame, name: str) -> Kept:
@@ -38,7 +57,7 @@ def keep(df: DataFrame, name: str) -> Kept:
     A lost executor costs at most the tasks it was running: what is written is never computed again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandloom/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return Kept(spark, path, df.schema)
 

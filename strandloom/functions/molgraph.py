@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from .smiles import BRACKET, TOKEN, core, ring_number
 
 AROMATIC_BOND = 4
-ORDERS = {"-": 1, "=": 2, "#": 3, "$": 1, ":": AROMATIC_BOND, "/": 1, "\\": 1, "~": 1}
+ORDERS = {"-": 1, "=": 2, "#": 3, "$": 1, ":": AROMATIC_BOND, "/": 1, "\\": 1}
 #: Usual valences (fixed values).
 VALENCES = {"B": (3,), "C": (4,), "N": (3, 5), "O": (2,), "P": (3, 5), "S": (2, 4, 6), "F": (1,), "Cl": (1,), "Br": (1,), "I": (1,)}
 HYDROGEN = -1

@@ -13,7 +13,7 @@ ELEMENTS = (
 AROMATIC = ("se", "as", "te", "b", "c", "n", "o", "p", "s")
 _SYMBOL = "|".join(sorted([*ELEMENTS, *AROMATIC, r"\*"], key=lambda x: -len(x)))
 BRACKET = re.compile(rf"\[(?P<isotope>\d+)?(?P<symbol>{_SYMBOL})(?P<chiral>@@|@(?:TH[12]|AL[12]|SP[1-3]|TB\d{{1,2}}|OH\d{{1,2}})|@)?(?P<h>H\d?)?(?P<charge>\++|-+|[+-]\d{{1,2}})?(?P<map>:\d+)?\]")
-TOKEN = re.compile(r"(?P<bracket>\[[^\[\]]*\])|(?P<atom>Cl|Br|[BCNOPSFI*bcnops])|(?P<bond>[-=#$:/\\~])|(?P<ring>%\(\d{1,5}\)|%\d\d|\d)|(?P<open>\()|(?P<close>\))|(?P<dot>\.)")
+TOKEN = re.compile(r"(?P<bracket>\[[^\[\]]*\])|(?P<atom>Cl|Br|[BCNOPSFI*bcnops])|(?P<bond>[-=#$:/\\])|(?P<ring>%\(\d{1,5}\)|%\d\d|\d)|(?P<open>\()|(?P<close>\))|(?P<dot>\.)")
 
 
 def core(text: str | None) -> str:

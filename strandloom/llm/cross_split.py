@@ -144,6 +144,9 @@ def overlaps(df: DataFrame, hot_rows: int = 50_000) -> tuple[DataFrame, DataFram
     of a train and an evaluation class of rows whose texts are both equal or near-equal. Exact copies share a class, so
     a text with a third of all rows is compared once. Null and blank texts and other splits take no part.
 
+    Texts are compared whole, whatever their length; an edit distance costs length times bound. Repeated row_ids count as
+    often as they are there. Empty tables and tables with one side only give no pairs.
+
     Sequences are grouped first (distinct texts only); SMILES meet within such a group, which keeps out most chance
     likeness between unrelated peptides.
     """

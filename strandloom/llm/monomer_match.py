@@ -223,7 +223,7 @@ def match(a: DataFrame, a_columns: dict[str, str], b: DataFrame, b_columns: dict
     """(id_a, id_b, confidence) of all pairs of records that may be the same thing.
 
     Null, empty and broken attributes count as missing, never as unequal. Records that are repeated in a table match
-    alike. Empty tables give no pairs.
+    alike. Structures of more than MAX_ATOMS atoms count as missing. Empty tables give no pairs.
     """
     members, found = entities(features([("a", a, a_columns), ("b", b, b_columns)]))
     scored = marginals(odds(candidates(found), found))

@@ -48,7 +48,8 @@ def by_priority(df: DataFrame, key: str, source: str, order: list[str], tie: str
 
 
 def medians(df: DataFrame, key: str, values: list[str], tie: str) -> DataFrame:
-    """Median of each value column per key; text that is no number counts as missing. ``tie`` picks the representative."""
+    """Median of each value column per key; text that is no number counts as missing. ``tie`` picks the representative.
+    The median is exact: the distinct values of a key, with their counts, are merged from partial maps into one."""
     number = lambda c: F.col(c).try_cast("double")
     return df.groupBy(key).agg(F.min(tie).alias(tie), *[F.median(number(c)).alias(c) for c in values], F.count("*").alias("n_rows"))
 

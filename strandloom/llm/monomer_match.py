@@ -96,7 +96,10 @@ def read_structure(text: str | None) -> tuple[str | None, int | None, str | None
     """(canonical text with R groups and stereo, number of R groups, None), or (None, None, what is there of a cut one)."""
     try:
         m = parse(text)
-        return canonical(m), len(group_labels(m)), None
+        groups = group_labels(m)
+        if 0 in groups and any(groups):  # names of some R groups are cut off
+            return None, None, core(text)
+        return canonical(m), len(groups), None
     except (NoMolecule, RecursionError):
         return None, None, core(text) or None
 

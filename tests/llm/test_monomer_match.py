@@ -26,6 +26,13 @@ def test_structures_of_equal_monomers_meet(spark, small):
     assert not [p for p in got if isinstance(keys[0][p[0]], str) and isinstance(keys[1][p[1]], str) and keys[0][p[0]] != keys[1][p[1]]]
 
 
+def test_structures_with_half_their_names_are_cut():
+    assert m.read_structure("*N[C@@H](C)C(=O)* |$_R1;_R2$|")[:2] == ("[*:1]N[C@H](C([*:2])=O)C", 2)
+    assert m.read_structure("[*:1]N[C@@H](C)C(=O)*") == (None, None, "[*:1]N[C@@H](C)C(=O)*")
+    assert m.read_structure(None) == m.read_structure(" |x|") == (None, None, None)
+    assert m.contained("N[C@@H](CC1(CC1)C", "[*:1]N[C@@H](CC1(CC1)CSC)C(=O)[*:2]") == 1.0 and m.contained("CC", "CC") is None
+
+
 def brute_marginals(theta):
     """Exact marginals by adding up all matchings."""
     from math import exp

@@ -141,7 +141,7 @@ def least_edits(line: str, width: int) -> tuple[int, int, list[str]]:
         nonlocal s
         for _ in range(2):
             if s in steps:
-                s, edit, _free = steps[s]
+                s, edit, _ = steps[s]
                 edits.append(f"{edit} at {place}")
 
     undo_inserts(last, at)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import curate as c, splits as s
+from ..operators import splits as s
 from .curate_queries import _CLEAN, _DIM, _POS, assays, positive_pairs, positives_with_attributes
 from .helm_queries import read
 

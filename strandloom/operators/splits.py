@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import md5_order
 from ..shared import written
+from .joins import lookup_join
 
 PREFIX = 4096
 
@@ -56,7 +57,7 @@ def stratified_split(df: DataFrame, key: str, stratum: str, ratio: float, seed:
     share = share.withColumn("_k", F.col("low") + (place <= F.ceil(F.lit(ratio) * F.col("all") - 1e-9) - F.sum("low").over(w)).cast("int")).select(stratum, "_k")
     before = counts.withColumn("_before", F.sum("n").over(Window.partitionBy(stratum).orderBy("_b")) - F.col("n")).select(stratum, "_b", "_before")
     rank = F.row_number().over(Window.partitionBy(stratum, "_b").orderBy("_o")) + F.col("_before")
-    ranked = df.join(before, [stratum, "_b"]).join(F.broadcast(share), stratum).withColumn("split", F.when(rank <= F.col("_k"), "test").otherwise("train"))
+    ranked = lookup_join(df.join(before, [stratum, "_b"]), share, [stratum], 200).withColumn("split", F.when(rank <= F.col("_k"), "test").otherwise("train"))
     return ranked.drop("_o", "_b", "_before", "_k")
 
 

@@ -1,7 +1,8 @@
 """Problem 4: same or near-same records across splits.
 
-Minwise hash shingles with banded buckets: only pairs across splits become candidates; their exact Jaccard similarity
-is verified against the least value that near-equal texts can have, then the edit distance itself.
+Sequences become candidates by banded minwise hashes of their shingles, SMILES by an exact count of the shingles that
+each pair across splits has in common within a family. Their exact Jaccard similarity is verified against the least
+value that near-equal texts can have, then the edit distance itself.
 """
 
 from __future__ import annotations
@@ -16,9 +17,15 @@ from .group_splits import hash_to_min
 
 #: Edits allowed, as a share of the longer text's characters.
 EDITS = 0.05
-#: Shingle length, bands and rows a band. At 5 % scattered edits sequences keep a similarity of 0.67 or more (found: all
-#: but 1e-6); SMILES keep 0.42 (found: 97 %; at 3 % edits 99.99 %), as unrelated SMILES share more and need longer shingles.
-SEQUENCE_LSH, SMILES_LSH = (4, 40, 3), (12, 60, 3)
+#: Shingle length, bands and rows a band. At 5 % edits long sequences keep a similarity of 0.67 or more (found: all but
+#: 1e-6); at 20 characters one edit leaves 0.62 or more (found: all but 2e-5).
+SEQUENCE_LSH = (4, 40, 3)
+#: Records a side and characters a side that one block of SMILES holds; texts of more characters are a block of their own.
+BLOCK_ROWS, BLOCK_CHARS = 2_000, 1_000_000
+#: Shingles that are counted at once, so that a block's memory does not grow with the number of distinct ones.
+SLAB = 4096
+#: Width of a length class, in logarithms: more than -ln(1 - EDITS), so near-equal texts are in the same class or the next.
+LENGTH_STEP = 0.0514
 VERIFY_SHINGLE = 4
 #: Shingles of texts that one Python worker keeps (8 bytes each).
 MEMO_SHINGLES = 6_000_000
@@ -136,6 +143,82 @@ def near_sequences(sequences: DataFrame) -> DataFrame:
     return verified(pairs).select("q_a", "q_b")
 
 
+def blocks(shared: DataFrame) -> DataFrame:
+    """One row for each record, side and block it is compared in: family, bin, i, j, train, record_id, smiles.
+
+    A family within BLOCK_ROWS and BLOCK_CHARS is one block. Larger ones are parted by length class, where evaluation
+    records go to the classes beside theirs as well, and a class is dealt into parts of which each meets each: every
+    pair of near-equal length meets in exactly one block.
+    """
+    length = F.char_length("smiles")
+    size = shared.groupBy("family").agg((F.count("*") > BLOCK_ROWS).alias("many"), (F.sum(length) > BLOCK_CHARS).alias("much"))
+    own = F.when(F.col("many") | F.col("much"), F.floor(F.log(length.cast("double")) / LENGTH_STEP).cast("int")).otherwise(-2)
+    rows = shared.join(size, "family").withColumn("bin", own).select("family", "bin", "record_id", "smiles", "in_train", "in_eval")
+    near = F.when(F.col("bin") == -2, F.array("bin")).otherwise(F.array(*[F.col("bin") + d for d in (-1, 0, 1)]))
+    train = rows.where("in_train").select("family", "bin", F.lit(True).alias("train"), "record_id", "smiles")
+    evaluation = rows.where("in_eval").select("family", F.explode(near).alias("bin"), F.lit(False).alias("train"), "record_id", "smiles")
+    both = train.unionByName(evaluation)
+    chars = F.sum(F.when(F.col("train"), F.char_length("smiles")))
+    other = F.sum(F.when(~F.col("train"), F.char_length("smiles")))
+    parts = lambda n, c: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(c / BLOCK_CHARS)).cast("int")
+    dealt = both.groupBy("family", "bin").agg(parts(F.count_if("train"), chars).alias("n_i"), parts(F.count_if(~F.col("train")), other).alias("n_j")).where("n_i > 0 AND n_j > 0")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    mine = lambda n: F.array(F.pmod(F.xxhash64("record_id"), F.col(n)).cast("int"))
+    placed = both.join(dealt, ["family", "bin"]).withColumn("i", F.explode(F.when(F.col("train"), mine("n_i")).otherwise(every("n_i"))))
+    return placed.withColumn("j", F.explode(F.when(F.col("train"), every("n_j")).otherwise(mine("n_j")))).select("family", "bin", "i", "j", "train", "record_id", "smiles")
+
+
+def close_pairs(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and b of all pairs that share as many shingles as near-equal texts must: e edits change at most
+    VERIFY_SHINGLE * e of those of the longer text. No near-equal pair is left out."""
+    texts = [shingles(t, VERIFY_SHINGLE) for t in a + b]
+    sizes = np.array([len(x) for x in texts])
+    _, columns = np.unique(np.concatenate(texts), return_inverse=True)
+    order = np.argsort(columns, kind="stable")
+    columns, rows = columns[order], np.repeat(np.arange(len(texts)), sizes)[order]
+    common = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, columns[-1] + 1, SLAB):
+        lo, hi = np.searchsorted(columns, [at, at + SLAB])
+        held = np.zeros((len(texts), min(SLAB, columns[-1] + 1 - at)), np.float32)
+        held[rows[lo:hi], columns[lo:hi] - at] = 1
+        common += held[: len(a)] @ held[len(a) :].T
+    n = np.array([len(t) for t in a + b])
+    longer = np.maximum(n[: len(a), None], n[None, len(a) :])
+    edits = np.floor(longer * EDITS + 1e-9)
+    fits = longer - np.minimum(n[: len(a), None], n[None, len(a) :]) <= edits
+    most = np.maximum(sizes[: len(a), None], sizes[None, len(a) :])
+    return np.nonzero(fits & (common >= most - VERIFY_SHINGLE * edits))
+
+
+def candidates_within(blocks: DataFrame) -> DataFrame:
+    """(record_a, record_b) of a train and an evaluation record that share enough shingles, each pair once."""
+    spark = blocks.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = ["family", "bin", "i", "j"]
+
+    def compare(batches):
+        import pyarrow as pa
+
+        def pairs(sides):
+            (a, x), (b, y) = sides[True], sides[False]
+            i, j = close_pairs(x, y) if a and b else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)[i]), pa.array(np.array(b, np.int64)[j])], ["record_a", "record_b"]) if len(i) else None
+
+        now, sides = None, None
+        for batch in batches:
+            for *key, train, record, smiles in zip(*[c.to_pylist() for c in batch.columns]):
+                if key != now:
+                    if now and (got := pairs(sides)):
+                        yield got
+                    now, sides = key, {True: ([], []), False: ([], [])}
+                sides[train][0].append(record)
+                sides[train][1].append(smiles)
+        if now and (got := pairs(sides)):
+            yield got
+
+    return blocks.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(compare, "record_a long, record_b long")
+
+
 def overlaps(df: DataFrame, hot_rows: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """(pairs, members).
 
@@ -147,8 +230,8 @@ def overlaps(df: DataFrame, hot_rows: int = 50_000) -> tuple[DataFrame, DataFram
     Texts are compared whole, whatever their length; an edit distance costs length times bound. Repeated row_ids count as
     often as they are there. Empty tables and tables with one side only give no pairs.
 
-    Sequences are grouped first (distinct texts only); SMILES meet within such a group, which keeps out most chance
-    likeness between unrelated peptides.
+    Sequences are grouped first (distinct texts only); within such a group every train SMILES meets every evaluation
+    SMILES of near-equal length, so no pair of it is left to chance.
     """
     rows = df.where(F.col("split").isin("train", "valid", "test") & ~is_blank("canonical_smiles") & ~is_blank("target_sequence"))
     rows = rows.select("row_id", "split", "source", "canonical_smiles", F.md5("target_sequence").alias("q"), "target_sequence")
@@ -165,13 +248,7 @@ def overlaps(df: DataFrame, hot_rows: int = 50_000) -> tuple[DataFrame, DataFram
     both = records.groupBy("family").agg(F.max("in_train").alias("t"), F.max("in_eval").alias("e")).where("t AND e").select("family")
     shared = records.join(both, "family", "left_semi")
 
-    def side(flag: str, x: str) -> DataFrame:
-        signed = banded(shared.where(flag).select("record_id", "family", "smiles"), "smiles", SMILES_LSH)
-        return signed.select(F.xxhash64("family", "band", "bucket").alias("key"), F.col("record_id").alias(f"record_{x}"), F.col("n_chars").alias(f"n_{x}"))
-
-    # Should two families ever share a key by chance, the check of their sequences at the end parts them.
-    met = side("in_train", "a").join(side("in_eval", "b"), "key").where(F.abs(F.col("n_a") - F.col("n_b")) <= allowed(F.col("n_a"), F.col("n_b")))
-    candidates = met.select("record_a", "record_b").distinct()
+    candidates = candidates_within(blocks(shared))
     for x in "ab":
         candidates = candidates.join(records.select(F.col("record_id").alias(f"record_{x}"), F.col("smiles").alias(f"text_{x}")), f"record_{x}")
     alike = written(verified(candidates).select("record_a", "record_b", "jaccard"), "alike")

@@ -86,3 +86,51 @@ def test_very_long_text():
     t = "ACDEFGHIKL" * 20_000
     assert len(c.shingles(t, 4)) == len(t) - 3 and len(c.bands(t, 4, 10, 3)) == 10
     assert c.jaccard(c.shingles(t, 4), c.shingles(t + "A", 4)) > 0.999
+
+
+def hard_rows():
+    """SMILES with as many edits as allowed, evenly spaced or in the middle of short ones; one family."""
+    r, rows = random.Random(11), []
+    for n in (19, 20, 21, 22, 25, 40, 41, 60, 100, 161, 240, 498):
+        for _ in range(4):
+            smi = [r.choice("CNO()=c1[]@H") for _ in range(n)]
+            for kind, e in enumerate((n // 20, n // 20 + 1, n // 20)):
+                new, gap = list(smi), n / (e + 1)
+                for at in range(e, 0, -1):
+                    k = round(at * gap)
+                    if kind < 2:
+                        new[k] = "F"
+                    elif at % 2:
+                        del new[k]
+                    else:
+                        new.insert(k, "F")
+                rows.append((len(rows), "".join(new), "MKV", "test", "s", None, None))
+            rows.append((len(rows), "".join(smi), "MKV", "train", "s", None, None))
+    return rows
+
+
+def found(df):
+    pairs, members = c.overlaps(df)
+    m = {}
+    for x in members.collect():
+        m.setdefault((x.record_id, x.q), []).append((x.split, x.row_id))
+    return sorted((i, j) for p in pairs.collect() for s, i in m[p.record_a, p.q_a] if s == "train" for t, j in m[p.record_b, p.q_b] if t != "train")
+
+
+def test_edits_at_the_limit_are_all_found(spark, monkeypatch):
+    rows = hard_rows()
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[3] == "train" and b[3] == "test" and near(a[1], b[1]))
+    assert len(want) > 80
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert found(df) == want
+    # The same with length classes, parts and slabs.
+    monkeypatch.setattr(c, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(c, "BLOCK_CHARS", 400)
+    assert found(df) == want
+
+
+def test_slabs_do_not_change_the_pairs(monkeypatch):
+    texts = [x[1] for x in hard_rows()]
+    whole = [x.tolist() for x in c.close_pairs(texts, texts)]
+    monkeypatch.setattr(c, "SLAB", 7)
+    assert [x.tolist() for x in c.close_pairs(texts, texts)] == whole

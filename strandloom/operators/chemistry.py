@@ -100,6 +100,49 @@ def neighbours(df: DataFrame, key: str, bits: str = "bits", n_bands: int = 40, r
     return got.select(key, "other", tanimoto(F.col("_a"), F.col("_b")).alias("similarity"))
 
 
+def nearest_of(df: DataFrame, key: str, asks: Column, holds: Column, bits: str = "bits", width: int = 2048, block: int = 2000) -> DataFrame:
+    """(key, nearest array<double>): the largest similarity to any other row, against all of them.
+
+    ``asks`` and ``holds`` are arrays of booleans of one size, a place for each set of rows to compare: nearest[k] is
+    that of a row that asks[k] to the others that hold[k], null if there are none. Rows without bits have no result. Each
+    pair is looked at once for all places, in blocks of a fixed size that tasks share; the work grows with the square
+    of the distinct rows.
+    """
+    df = df.where(F.col(bits).isNotNull()).select(key, F.col(bits).alias("bits"), asks.alias("asks"), holds.alias("holds"))
+    parts = max(1, -(-df.count() // block))
+    mine, every = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = df.where(F.exists("asks", lambda x: x)).select(mine.alias("i"), every.alias("j"), F.lit(True).alias("left"), key, "bits", "asks")
+    right = df.where(F.exists("holds", lambda x: x)).select(every.alias("i"), mine.alias("j"), F.lit(False).alias("left"), key, "bits", F.col("holds").alias("asks"))
+
+    def dense(t):
+        lists = t.column("bits").to_pylist()
+        on = np.zeros((len(lists), width), np.float32)
+        on[np.repeat(np.arange(len(lists)), [len(x) for x in lists]), [x for y in lists for x in y]] = 1
+        return on, np.array(t.column("asks").to_pylist(), bool)
+
+    def compare(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        a, b = table.filter(table.column("left")), table.filter(pc.invert(table.column("left")))
+        out = []
+        if len(a) and len(b):
+            (x, asked), (y, held) = dense(a), dense(b)
+            both = (x @ y.T).astype(float)
+            alike = both / np.maximum(x.sum(1)[:, None] + y.sum(1)[None, :] - both, 1)
+            at = {k: j for j, k in enumerate(b.column(key).to_pylist())}
+            for i, k in enumerate(a.column(key).to_pylist()):
+                if k in at:
+                    alike[i, at[k]] = -1
+            best = np.stack([np.where(h[None, :], alike, -1).max(1) for h in held.T], 1)
+            out = [[v if q and v >= 0 else None for v, q in zip(r, o)] for r, o in zip(best.tolist(), asked.tolist())]
+        return pa.table({key: a.column(key) if out else a.column(key).slice(0, 0), "found": pa.array(out, pa.list_(pa.float64()))})
+
+    found = left.unionByName(right).groupBy("i", "j").applyInArrow(compare, f"`{key}` {df.schema[key].dataType.simpleString()}, found array<double>")
+    best = found.select(key, F.posexplode("found").alias("_k", "_s")).groupBy(key, "_k").agg(F.max("_s").alias("_s"))
+    return best.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_s"))), lambda x: x["_s"]).alias("nearest"))
+
+
 def padded_vector(v: Column, size: int) -> Column:
     """Cut, or filled with zeros, to a size; null stays null."""
     return F.when(v.isNotNull(), F.slice(F.concat(v, F.array_repeat(F.lit(0.0).cast("float"), size)), 1, size))

@@ -69,29 +69,28 @@ def fingerprint_bits(spark, sf_dir):
 
 
 def _scaffold_prints(spark, sf_dir):
-    rows = _peptides(spark, sf_dir).where("given <> '' AND given <> '__no_scaffold__'")
+    """All scaffolds with their rows; no bits for those that can't be read and for rows without a scaffold."""
+    rows = _peptides(spark, sf_dir).withColumn("given", F.coalesce(F.nullif("given", F.lit("")), F.lit(ch.NO_SCAFFOLD)))
     sizes = rows.groupBy("given").agg(F.count("*").alias("n"))
-    return sizes.join(ch.fingerprints(rows, "given"), "given").where("bits IS NOT NULL")
+    return sizes.join(ch.fingerprints(rows, "given"), "given", "left")
 
 
 @query()
 def scaffold_rarity(spark, sf_dir):
-    """How near the next scaffold is; null if none is."""
+    """How near the next scaffold is; null for a scaffold without fingerprint or if no other has one."""
     prints = written(_scaffold_prints(spark, sf_dir), "prints")
-    near = ch.neighbours(prints, "given")
-    both = near.select("given", "similarity").unionByName(near.select(F.col("other").alias("given"), "similarity"))
-    return prints.select("given", "n").join(both.groupBy("given").agg(F.round(F.max("similarity"), 6).alias("nearest")), "given", "left")
+    every = F.array(F.lit(True))
+    near = ch.nearest_of(prints, "given", every, every)
+    return prints.select("given", "n").join(near.select("given", F.round(F.col("nearest")[0], 6).alias("nearest")), "given", "left")
 
 
 @query()
 def scaffold_novelty(spark, sf_dir):
-    """How near the scaffolds of a test set (each fifth by hash) are to train, weighted by rows."""
+    """How near the scaffolds of a test set (each fifth by hash) are to train, weighted by rows. A scaffold
+    without fingerprint counts as 1, and so does each if train has none."""
     prints = written(_scaffold_prints(spark, sf_dir).withColumn("test", F.conv(F.substring(F.md5("given"), 1, 4), 16, 10).cast("int") % 5 == 0), "prints")
-    near = ch.neighbours(prints, "given")
-    both = near.unionByName(near.select(F.col("other").alias("given"), F.col("given").alias("other"), "similarity"))
-    flags = prints.select("given", "test", "n")
-    best = both.join(flags.where("test"), "given", "left_semi").join(flags.where("NOT test").select(F.col("given").alias("other")), "other", "left_semi").groupBy("given").agg(F.max("similarity").alias("similarity"))
-    got = flags.where("test").join(best, "given", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    best = ch.nearest_of(prints, "given", F.array("test"), F.array(~F.col("test"))).select("given", F.col("nearest")[0].alias("similarity"))
+    got = prints.where("test").select("given", "n").join(best, "given", "left").withColumn("similarity", F.coalesce("similarity", F.lit(1.0)))
     return got.agg(F.count("*").alias("n_scaffolds"), F.round(F.sum(F.col("similarity") * F.col("n")) / F.sum("n"), 6).alias("mean_similarity"), F.round(F.max("similarity"), 6).alias("worst_similarity"))
 
 

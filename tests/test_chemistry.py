@@ -70,3 +70,40 @@ def test_neighbours_against_all_pairs(spark):
     assert all(abs(near[p] - s) < 1e-9 for p, s in got.items())
     missed = [p for p, s in near.items() if s >= 0.45 and p not in got]
     assert not missed
+
+
+def test_nearest_of_against_all_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from strandloom.operators import chemistry as ch
+
+    r = random.Random(2)
+    rows = [(str(i), sorted(r.sample(range(2048), r.choice([2, 20, 60]))), i % 3 == 0) for i in range(60)] + [("none", None, True)]
+    df = spark.createDataFrame(rows, "k string, bits array<int>, t boolean")
+    sets = {k: (set(b), t) for k, b, t in rows if b}
+    alike = lambda a, b: len(sets[a][0] & sets[b][0]) / len(sets[a][0] | sets[b][0])
+    want = {a: [max(alike(a, b) for b in sets if b != a), max(alike(a, b) for b in sets if not sets[b][1]) if sets[a][1] else None] for a in sets}
+    every = F.lit(True)
+    for block in (7, 2000):
+        got = {x.k: x.nearest for x in ch.nearest_of(df, "k", F.array(every, "t"), F.array(every, ~F.col("t")), block=block).collect()}
+        assert got == {a: [pytest.approx(x) for x in v] for a, v in want.items()}
+    assert ch.nearest_of(df.limit(1), "k", F.array(every), F.array(every)).first().nearest == [None]
+
+
+def test_every_scaffold_has_its_nearest(spark, tmp_path):
+    from strandloom.plans.chem_queries import scaffold_novelty, scaffold_rarity
+
+    texts = ["c1ccccc1", "C1CCCCC1", "C1CC1", "O1CCOCC1", "c1ccsc1", "N1CCNCC1", "C1CCC2CCCCC2C1", "c1cc[nH]c1", "S1CCSC1", "not a structure", "", None, "__no_scaffold__"]
+    rows = [(i, "C", s, None, None) for i, s in enumerate(texts)]
+    spark.createDataFrame(rows, "row_id long, smiles string, scaffold string, pampa double, caco2 double").write.parquet(f"{tmp_path}/permeability_peptides.parquet")
+    prints = {s: set(g.fingerprint(g.parse(s))) for s in texts[:9]}
+    alike = lambda a, b: len(prints[a] & prints[b]) / len(prints[a] | prints[b])
+    want = {a: round(max(alike(a, b) for b in prints if b != a), 6) for a in prints} | {"not a structure": None, "__no_scaffold__": None}
+    assert {x.given: x.nearest for x in scaffold_rarity(spark, str(tmp_path)).collect()} == want
+    import hashlib
+
+    test = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:4], 16) % 5 == 0
+    picked = {s: max(alike(s, b) for b in prints if not test(b)) if s in prints else 1.0 for s in want if test(s)}
+    got = scaffold_novelty(spark, str(tmp_path)).first()
+    assert got.n_scaffolds == len(picked) > 0
+    assert got.worst_similarity == pytest.approx(max(picked.values()), abs=1e-6)

@@ -6,11 +6,13 @@ All randomness is an order by MD5 of seed and key, so results depend neither on
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import md5_order
 from ..shared import written
+from .chemistry import NO_SCAFFOLD, nearest_of
 from .joins import lookup_join
 
 PREFIX = 4096
@@ -187,3 +189,93 @@ def scaffold_scores(orders: DataFrame) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("gap", "tiny_share", "strategy"))).select("strategy", "n_test", "goal", "n_groups", "tiny_share", "gap", "place")
 
 
+def greedy_partition(sizes: list[int], states: list, goal: int, empty, combine: Callable, key: Callable) -> list[bool]:
+    """Whether each group, in the order given, goes to test.
+
+    A group is added if the goal can't be reached without it, or if it brings ``key(size, state)`` down and does not
+    overshoot; a group that does not fit is passed over. Then the best of what is left, by key and the first of equals, is
+    added until the goal is reached. ``combine`` adds a group's state (hashable) to that of the test set.
+    """
+    chosen, rest, size, state = [False] * len(sizes), sum(sizes), 0, empty
+    for k, (n, own) in enumerate(zip(sizes, states)):
+        rest -= n
+        added = combine(state, own)
+        must = size < goal and size + rest < goal
+        if must or (size + n <= goal and key(size + n, added) < key(size, state)):
+            chosen[k], size, state = True, size + n, added
+    # Groups of one size and state have one key, so only the first of each is looked at.
+    alike: dict = {}
+    for k in range(len(sizes) - 1, -1, -1):
+        if not chosen[k]:
+            alike.setdefault((sizes[k], states[k]), []).append(k)
+    while size < goal and alike:
+        n, own = best = min(alike, key=lambda x: (key(size + x[0], combine(state, x[1])), alike[x][-1]))
+        chosen[alike[best].pop()] = True
+        if not alike[best]:
+            del alike[best]
+        size, state = size + n, combine(state, own)
+    return chosen
+
+
+#: Assays a group's rows have; the rarest comes first in orders and keys.
+CATEGORIES = ("pampa_only", "caco2_only", "both")
+#: In this order for equal scores.
+GREEDY = ("large_first", "small_first", "rare_large_first", "rare_small_first", "seeded_large_first", "seeded_small_first")
+
+
+def composition_key(size: int, counts: tuple, total: int, totals: tuple, goal: int) -> tuple:
+    """Gaps to each category's share of the goal, the rarest first, then that of the size."""
+    gaps = [abs(counts[c] - totals[c] * goal / total) if totals[c] > 0 else 0.0 for c in sorted(range(len(totals)), key=lambda c: totals[c])]
+    return (*gaps, abs(size - goal))
+
+
+def greedy_orders(groups: DataFrame, ratio: float) -> DataFrame:
+    """(strategy, scaffold, n, goal, CATEGORIES, in_test) from (scaffold, n, first_id, rarity, CATEGORIES).
+
+    The rarest category leads each order, then rarity if the strategy has it, size, and the later first row. A seeded
+    order is the same as without a seed, as in the reference: first rows are distinct, so no tie is left to the seed. One
+    task holds the group table of a strategy.
+    """
+    kinds = "strategy string, scaffold string, n long, goal long, pampa_only long, caco2_only long, both long, in_test boolean"
+
+    def place(table):
+        import pyarrow as pa
+
+        rows = table.to_pylist()
+        name, counts = rows[0]["strategy"], lambda r: tuple(r[c] for c in CATEGORIES)
+        total, totals = sum(r["n"] for r in rows), tuple(sum(r[c] for r in rows) for c in CATEGORIES)
+        goal, first = round(total * ratio), sorted(range(len(totals)), key=lambda c: totals[c])
+        rows.sort(key=lambda r: (tuple((counts(r)[c] > 0, counts(r)[c]) for c in first), r["rarity"] if name.startswith("rare") else 0.0, -r["n"] if "small" in name else r["n"], r["first_id"]), reverse=True)
+        chosen = greedy_partition([r["n"] for r in rows], [counts(r) for r in rows], goal, (0,) * len(totals), lambda a, b: tuple(x + y for x, y in zip(a, b)), lambda size, state: composition_key(size, state, total, totals, goal))
+        column = lambda c, kind: pa.array([r[c] for r in rows], kind)
+        fields = {"strategy": column("strategy", pa.string()), "scaffold": column("scaffold", pa.string()), "n": column("n", pa.int64()), "goal": pa.array([goal] * len(rows), pa.int64())}
+        return pa.table(fields | {c: column(c, pa.int64()) for c in CATEGORIES} | {"in_test": pa.array(chosen)})
+
+    every = groups.withColumn("strategy", F.explode(F.array(*[F.lit(x) for x in GREEDY])))
+    return every.select("strategy", "scaffold", "n", "first_id", "rarity", *CATEGORIES).groupBy("strategy").applyInArrow(place, kinds)
+
+
+def greedy_scores(orders: DataFrame, prints: DataFrame) -> DataFrame:
+    """One row per strategy: gap of the size, mean (by rows) and worst similarity of test scaffolds to train, shares of
+    groups of one or two rows and of rows without scaffold, gaps of the categories; place 1 is the least in that order,
+    where the rarest category's gap comes first. ``prints`` is (scaffold, bits)."""
+    test = lambda s: F.coalesce(F.max(F.when(F.col("strategy") == s, F.col("in_test"))), F.lit(False))
+    sides = orders.groupBy("scaffold").agg(F.array(*[test(s) for s in GREEDY]).alias("tests")).join(prints, "scaffold")
+    near = nearest_of(sides, "scaffold", F.col("tests"), F.transform("tests", lambda x: ~x))
+    near = near.select("scaffold", F.posexplode("nearest").alias("k", "similarity"))
+    rows = orders.withColumn("k", F.array_position(F.array(*[F.lit(s) for s in GREEDY]), F.col("strategy")).cast("int") - 1).join(near, ["scaffold", "k"], "left")
+    t, n = F.col("in_test"), F.col("n")
+    like = F.when(t, F.coalesce("similarity", F.lit(1.0)))  # without a fingerprint, or with none in train
+    of_test = lambda c: F.coalesce(F.sum(F.when(t & c, n)), F.lit(0))
+    totals = orders.where(F.col("strategy") == GREEDY[0]).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CATEGORIES], F.sum("n").alias("n")).first()
+    gap = lambda c: F.abs(F.coalesce(F.sum(F.when(t, F.col(c))), F.lit(0)) - F.lit(float(totals[c])) * F.max("goal") / F.lit(totals["n"] or 1))
+    scored = rows.groupBy("strategy").agg(
+        F.max("k").alias("k"), of_test(F.lit(True)).alias("n_test"), F.max("goal").alias("goal"), F.count_if(t).alias("n_groups"),
+        F.coalesce(F.round(F.sum(like * n) / F.sum(F.when(t, n)), 9), F.lit(1.0)).alias("mean_similarity"), F.coalesce(F.max(like), F.lit(1.0)).alias("worst_similarity"),
+        of_test(n <= 2).alias("tiny"), of_test(F.col("scaffold") == NO_SCAFFOLD).alias("bare"), *[gap(c).alias(f"{c}_gap") for c in CATEGORIES],
+    )
+    share = lambda c: F.when(F.col("n_test") > 0, F.col(c) / F.col("n_test")).otherwise(1.0)
+    scored = scored.withColumn("gap", F.abs(F.col("n_test") - F.col("goal"))).withColumn("tiny_share", share("tiny")).withColumn("no_scaffold_share", share("bare"))
+    order = ["gap", "mean_similarity", "worst_similarity", "tiny_share", "no_scaffold_share", *[f"{c}_gap" for c in sorted(CATEGORIES, key=lambda c: totals[c])]]
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order, "k"))
+    return scored.withColumn("place", place).select("strategy", "n_test", "goal", "n_groups", "gap", "mean_similarity", "worst_similarity", "tiny_share", "no_scaffold_share", *[f"{c}_gap" for c in CATEGORIES], "place")

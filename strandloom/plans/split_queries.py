@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import splits as s
+from ..operators import chemistry as ch, splits as s
+from ..shared import written
 from .curate_queries import _CLEAN, _DIM, _POS, assays, positive_pairs, positives_with_attributes
 from .helm_queries import read
 
@@ -145,16 +146,40 @@ def _scaffold_orders(spark, sf_dir):
 
 @query(f"WITH {_SG}, o AS ({_ORDERS}), t AS (SELECT CAST(round(sum(n) * 0.1) AS BIGINT) AS goal FROM sg) SELECT strategy, scaffold, running <= goal AS in_test FROM o, t")
 def scaffold_split_candidates(spark, sf_dir):
-    """Whole scaffold groups in test, by four orders."""
+    """O1-O3: whole scaffold groups from the front of four orders (the greedy partition is scaffold_split_greedy)."""
     return _scaffold_orders(spark, sf_dir).select("strategy", "scaffold", "in_test")
 
 
 @query(f"WITH {_SG}, o AS ({_ORDERS}), t AS (SELECT CAST(round(sum(n) * 0.1) AS BIGINT) AS goal FROM sg), z AS (SELECT strategy, CAST(coalesce(sum(n) FILTER (running <= goal), 0) AS BIGINT) AS n_test, max(goal) AS goal, CAST(count_if(running <= goal) AS BIGINT) AS n_groups, coalesce(sum(n) FILTER (running <= goal AND n <= 2), 0) AS tiny FROM o, t GROUP BY 1), y AS (SELECT strategy, n_test, goal, n_groups, round(tiny / greatest(n_test, 1), 6) AS tiny_share, abs(n_test - goal) AS gap FROM z) SELECT *, CAST(row_number() OVER (ORDER BY gap, tiny_share, strategy) AS INT) AS place FROM y")
 def scaffold_split_scores(spark, sf_dir):
-    """Scores of the orders, the best first."""
+    """Sizes of the four orders' test sets, the best first (the reference's score is scaffold_split_choice)."""
     return s.scaffold_scores(_scaffold_orders(spark, sf_dir))
 
 
+def _greedy_orders(spark, sf_dir):
+    """(orders, fingerprints of all scaffolds)."""
+    rows = assays(spark, sf_dir).withColumn("scaffold", F.coalesce(F.nullif("scaffold", F.lit("")), F.lit(ch.NO_SCAFFOLD)))
+    a, b = F.col("pampa").isNotNull(), F.col("caco2").isNotNull()
+    groups = rows.groupBy("scaffold").agg(F.count("*").alias("n"), F.min("row_id").alias("first_id"), F.count_if(a & ~b).alias("pampa_only"), F.count_if(b & ~a).alias("caco2_only"), F.count_if(a & b).alias("both"))
+    prints = written(ch.fingerprints(groups, "scaffold"), "prints")
+    every = F.array(F.lit(True))
+    near = ch.nearest_of(prints, "scaffold", every, every).select("scaffold", (1 - F.coalesce(F.col("nearest")[0], F.lit(0.0))).alias("rarity"))
+    return written(s.greedy_orders(groups.join(near, "scaffold", "left").fillna(0.0, ["rarity"]), 0.1), "orders"), prints
+
+
+@query()
+def scaffold_split_greedy(spark, sf_dir):
+    """Whole scaffold groups in test, by greedy partition of six orders towards size and assay composition."""
+    return _greedy_orders(spark, sf_dir)[0].select("strategy", "scaffold", "n", "in_test")
+
+
+@query()
+def scaffold_split_choice(spark, sf_dir):
+    """The full score of each of the six; place 1 is the split."""
+    got = s.greedy_scores(*_greedy_orders(spark, sf_dir))
+    return got.select(*[F.round(c, 6).alias(c) if k == "double" else c for c, k in got.dtypes])
+
+
 @query()
 def cluster_split(spark, sf_dir):
     """Standardise, PCA, k-means, whole clusters into test."""

@@ -150,3 +150,54 @@ def test_nearest_in_blocks(spark):
     e = spark.createDataFrame([(i, [r.random() for _ in range(4)]) for i in range(60)], "k long, x array<double>")
     want = sorted(map(tuple, v.nearest(e.where("k % 5 = 0"), e, "k", "x", 3).collect()))
     assert sorted(map(tuple, v.nearest(e.where("k % 5 = 0"), e, "k", "x", 3, block=4).collect())) == want and len(want) == 36
+
+
+def plain_greedy(sizes, states, goal, key):
+    """Group by group, the top-up over all that is left."""
+    add = lambda a, b: tuple(x + y for x, y in zip(a, b))
+    test, left, rest, size, state = [], [], sum(sizes), 0, (0, 0, 0)
+    for k, n in enumerate(sizes):
+        rest -= n
+        if (size < goal and size + rest < goal) or (size + n <= goal and key(size + n, add(state, states[k])) < key(size, state)):
+            test.append(k)
+            size, state = size + n, add(state, states[k])
+        else:
+            left.append(k)
+    while size < goal and left:
+        k = left.pop(min(range(len(left)), key=lambda i: key(size + sizes[left[i]], add(state, states[left[i]]))))
+        test.append(k)
+        size, state = size + sizes[k], add(state, states[k])
+    return [k in test for k in range(len(sizes))]
+
+
+def test_greedy_partition():
+    import random
+
+    from strandloom.operators import splits as s
+
+    add = lambda a, b: tuple(x + y for x, y in zip(a, b))
+    for seed in range(200):
+        r = random.Random(seed)
+        states = [tuple(r.choice([0, 0, 1, 2, 9]) for _ in range(3)) for _ in range(r.randrange(1, 40))]
+        sizes = [max(1, sum(x)) + r.choice([0, 0, 3, 40]) for x in states]
+        total, totals = sum(sizes), tuple(map(sum, zip(*states)))
+        goal = round(total * r.choice([0.1, 0.5]))
+        key = lambda n, c: s.composition_key(n, c, total, totals, goal)
+        assert s.greedy_partition(sizes, states, goal, (0, 0, 0), add, key) == plain_greedy(sizes, states, goal, key)
+
+
+def test_scaffold_over_the_goal_does_not_end_the_test_set(spark, tmp_path):
+    from strandloom.plans import split_queries as q
+
+    rings = ["c1ccccc1"] * 40 + ["C1CC1"] * 7 + [f"C1{'C' * n}C1" for n in range(2, 30) for _ in range(2)] + ["__no_scaffold__", None, " "]
+    rows = [(i, "C", x, -5.0, -5.0 if i % 3 else None, -5.0 if i % 4 == 0 else None, "s") for i, x in enumerate(rings)]
+    spark.createDataFrame(rows, "row_id long, smiles string, scaffold string, permeability double, pampa double, caco2 double, source string").write.parquet(f"{tmp_path}/permeability_peptides.parquet")
+    sizes = {}
+    for r in q.scaffold_split_greedy(spark, str(tmp_path)).collect():
+        sizes.setdefault(r.strategy, [0, 0])
+        sizes[r.strategy][r.in_test] += r.n
+    goal = round(len(rings) * 0.1)
+    assert len(sizes) == 6 and all(a + b == len(rings) and b >= goal for a, b in sizes.values())
+    scores = q.scaffold_split_choice(spark, str(tmp_path)).orderBy("place").collect()
+    assert {x.strategy: x.n_test for x in scores} == {k: b for k, (_, b) in sizes.items()} and [x.place for x in scores] == [1, 2, 3, 4, 5, 6]
+    assert min((x.gap, x.mean_similarity) for x in scores) == (scores[0].gap, scores[0].mean_similarity)

@@ -29,7 +29,8 @@ def cluster_split(df: DataFrame, key: str, vector: str, components: int = 50, cl
     rows = rows.select(key, array_to_vector("pca").alias("features"))
     model = KMeans(k=clusters, seed=seed, featuresCol="features", predictionCol="cluster").fit(rows)
     named = model.transform(rows).select(key, "cluster")
-    order = named.select("cluster").distinct().orderBy(md5_order(str(seed), "cluster")).limit(max(1, int(ratio * clusters)))  # clusters are few
+    held = named.select("cluster").distinct()  # clusters are few, and fewer than asked for if there are fewer vectors
+    order = held.orderBy(md5_order(str(seed), "cluster")).limit(max(1, int(ratio * held.count())))
     return named.join(F.broadcast(order.withColumn("split", F.lit("test"))), "cluster", "left").select(key, "cluster", F.coalesce("split", F.lit("train")).alias("split"))
 
 
@@ -78,6 +79,22 @@ def attention_pooled(vectors: Column, scores: Column, mask: Column, size: int) -
     return F.aggregate(weighed, F.array_repeat(F.lit(0.0), size), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
 
 
+def mean_pooled_rows(df: DataFrame, group: str, vector: str, mask: Column) -> DataFrame:
+    """(group, dim, pooled): ``mean_pooled`` in every dimension where a group's vectors are rows; no group is held whole."""
+    x = df.select(group, mask.cast("double").alias("_m"), F.posexplode(vector).alias("dim", "_x"))
+    total = F.sum(F.col("_x").cast("double") * F.col("_m"))
+    return x.groupBy(group, "dim").agg((total / F.greatest(F.sum("_m"), F.lit(1e-9))).alias("pooled"))
+
+
+def attention_pooled_rows(df: DataFrame, group: str, vector: str, score: Column, mask: Column) -> DataFrame:
+    """(group, dim, pooled): ``attention_pooled`` in every dimension where a group's vectors are rows; null if all are masked."""
+    x = df.select(group, score.cast("double").alias("_s"), (mask == 1).alias("_m"), F.col(vector).alias("_v"))
+    top = x.where("_m").groupBy(group).agg(F.max("_s").alias("_top"))
+    rows = x.join(top, group, "left").withColumn("_w", F.when(F.col("_m"), F.exp(F.col("_s") - F.col("_top"))).otherwise(0.0))
+    rows = rows.select(group, "_w", F.posexplode("_v").alias("dim", "_x"))
+    return rows.groupBy(group, "dim").agg(F.try_divide(F.sum(F.col("_x").cast("double") * F.col("_w")), F.sum("_w")).alias("pooled"))
+
+
 def missing_keys(wanted: DataFrame, text: str, stored: DataFrame) -> DataFrame:
     """(key, text) of distinct texts whose MD5 is not stored yet."""
     return wanted.where(F.col(text).isNotNull()).select(F.md5(text).alias("key"), text).distinct().join(stored.select("key"), "key", "left_anti")

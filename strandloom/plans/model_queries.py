@@ -208,11 +208,25 @@ def nearest_vectors(spark, sf_dir):
 
 @query("WITH e AS (SELECT label, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings), t AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i, vec_id FROM e) SELECT label, CAST(i - 1 AS INT) AS dim, round(avg(CASE WHEN vec_id % 3 <> 0 THEN CAST(x AS DOUBLE) END), 6) AS mean FROM t WHERE i <= 4 GROUP BY 1, 2")
 def masked_mean_pool(spark, sf_dir):
-    """Mean over the vectors that are not masked."""
+    """Mean over the vectors that are not masked, the first four dimensions (all: mean_pool_whole)."""
     e = read(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x"), "vec_id").where("dim < 4")
     return e.groupBy("label", "dim").agg(F.round(F.avg(F.when(F.col("vec_id") % 3 != 0, F.col("x").cast("double"))), 6).alias("mean"))
 
 
+@query()
+def mean_pool_whole(spark, sf_dir):
+    """Mean over the vectors that are not masked, in every dimension."""
+    got = v.mean_pooled_rows(read(spark, sf_dir, "embeddings"), "label", "embedding", (F.col("vec_id") % 3 != 0).cast("int"))
+    return got.select("label", "dim", F.round("pooled", 6).alias("mean"))
+
+
+@query()
+def attention_pool_whole(spark, sf_dir):
+    """Softmax-weighted mean over the vectors that are not masked, in every dimension; the second one is the score."""
+    got = v.attention_pooled_rows(read(spark, sf_dir, "embeddings"), "label", "embedding", F.col("embedding")[1], (F.col("vec_id") % 3 != 0).cast("int"))
+    return got.select("label", "dim", F.round("pooled", 6).alias("pooled"))
+
+
 @query()
 def pca_points(spark, sf_dir):
     """Two components to plot (t-SNE has no counterpart here)."""
@@ -253,7 +267,7 @@ def group_members(spark, sf_dir):
 
 @query("WITH s AS (SELECT label, CAST(vec_id AS INT) AS vec_id, CAST(embedding[1] AS DOUBLE) AS x, exp(CAST(embedding[2] AS DOUBLE)) AS w FROM embeddings) SELECT label, round(sum(x * w) / sum(w), 6) AS pooled FROM s WHERE vec_id % 3 <> 0 GROUP BY label")
 def attention_pool(spark, sf_dir):
-    """Softmax-weighted mean over the vectors that are not masked."""
+    """Softmax-weighted mean over the vectors that are not masked, the first dimension (all: attention_pool_whole)."""
     s = read(spark, sf_dir, "embeddings").where("vec_id % 3 <> 0").select("label", F.col("embedding")[0].cast("double").alias("x"), F.exp(F.col("embedding")[1].cast("double")).alias("w"))
     return s.groupBy("label").agg(F.round(F.sum(F.col("x") * F.col("w")) / F.sum("w"), 6).alias("pooled"))
 

@@ -185,4 +185,4 @@ def cluster_split(spark, sf_dir):
     """Standardise, PCA, k-means, whole clusters into test."""
     from ..operators.vectors import cluster_split as split
 
-    return split(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=16, clusters=20, ratio=0.2)
+    return split(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=50, clusters=100, ratio=0.2)

@@ -201,3 +201,23 @@ def test_scaffold_over_the_goal_does_not_end_the_test_set(spark, tmp_path):
     scores = q.scaffold_split_choice(spark, str(tmp_path)).orderBy("place").collect()
     assert {x.strategy: x.n_test for x in scores} == {k: b for k, (_, b) in sizes.items()} and [x.place for x in scores] == [1, 2, 3, 4, 5, 6]
     assert min((x.gap, x.mean_similarity) for x in scores) == (scores[0].gap, scores[0].mean_similarity)
+
+
+def test_whole_pools_equal_the_array_operators(spark, small):
+    from strandloom.operators import vectors as v
+    from strandloom.plans import model_queries as q
+
+    e = spark.read.parquet(f"{small}/embeddings.parquet").withColumn("m", F.when(F.col("vec_id") % 3 != 0, 1.0).otherwise(0.0))
+    e = e.select("label", F.struct(F.transform("embedding", lambda x: x.cast("double")).alias("x"), F.col("embedding")[1].cast("double").alias("s"), "m").alias("r"))
+    groups = e.groupBy("label").agg(F.collect_list("r").alias("r"))
+    want = groups.select("label", v.mean_pooled(F.col("r.x"), F.col("r.m"), 64).alias("a"), v.attention_pooled(F.col("r.x"), F.col("r.s"), F.col("r.m"), 64).alias("b")).collect()
+    for name, column, field in (("mean_pool_whole", "mean", "a"), ("attention_pool_whole", "pooled", "b")):
+        got = {(r.label, r.dim): r[column] for r in q.QUERIES[name](spark, small).collect()}
+        assert got == {(r.label, i): pytest.approx(x, abs=2e-6) for r in want for i, x in enumerate(r[field])} and len(got) == 64 * len(want)
+
+
+def test_cluster_split_has_a_hundred_clusters(spark, small):
+    from strandloom.plans.split_queries import cluster_split
+
+    got = cluster_split(spark, small).groupBy("split").agg(F.count_distinct("cluster").alias("n")).collect()
+    assert {r.split: r.n for r in got} == {"test": 20, "train": 80}

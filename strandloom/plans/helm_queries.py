@@ -160,17 +160,18 @@ def helm_stale_corrections(spark, sf_dir):
 def helm_normalize_stats(spark, sf_dir):
     """H8: what normalisation does, as one row of counts."""
     library = read(spark, sf_dir, "monomer_library").select("symbol").distinct()
-    known = F.array(*[F.lit(r["symbol"]) for r in library.collect()]) if fits(library, 60) else F.array()
-    df = ppi(spark, sf_dir).withColumn("monomers", h.monomers("helm")).withColumn("known", known)
-    return df.agg(
+    df = ppi(spark, sf_dir).withColumn("monomers", h.monomers("helm"))
+    symbols = df.select("row_id", F.explode("monomers").alias("symbol"))
+    unknown = symbols.join(F.broadcast(library) if fits(library, 60) else library, "symbol", "left_anti").agg(F.count_distinct("row_id").alias("n_unknown"))
+    counts = df.agg(
         F.count("*").alias("total"),
         F.count_if(F.col("helm").isNull() | (F.col("helm") == "")).alias("n_blank"),
         F.count_if((F.col("helm") != "") & (F.size(h.chain_ids("helm")) == 1) & ~F.col("helm").contains("PEPTIDE1")).alias("n_renumbered"),
         F.count_if(F.col("helm") != h.linked_in_order("helm")).alias("n_reordered"),
         F.count_if((F.col("helm") != "") & F.col("monomers").isNull()).alias("n_no_chain"),
-        F.count_if(F.size(F.array_except("monomers", "known")) > 0).alias("n_unknown"),
         F.sum(F.coalesce(F.when(F.col("monomers").isNotNull(), F.size("monomers")), F.lit(0))).alias("n_monomers"),
     )
+    return counts.crossJoin(unknown).select("total", "n_blank", "n_renumbered", "n_reordered", "n_no_chain", "n_unknown", "n_monomers")
 
 
 _SEQ = f"upper(trim(target_sequence)) AS up, regexp_replace(upper(trim(target_sequence)), '[^{h.AMINO_ACIDS}]', '', 'g') AS kept"

@@ -221,3 +221,11 @@ def test_cluster_split_has_a_hundred_clusters(spark, small):
 
     got = cluster_split(spark, small).groupBy("split").agg(F.count_distinct("cluster").alias("n")).collect()
     assert {r.split: r.n for r in got} == {"test": 20, "train": 80}
+
+
+def test_size_of_the_library_does_not_change_the_counts(spark, small, monkeypatch):
+    from strandloom.plans import helm_queries as q
+
+    want = q.helm_normalize_stats(spark, small).collect()
+    monkeypatch.setattr(q, "fits", lambda *_: False)
+    assert q.helm_normalize_stats(spark, small).collect() == want

@@ -202,7 +202,8 @@ def marginals(pairs: DataFrame, tolerance: float = TOLERANCE, max_rounds: int =
 
     The factor of an entity sends to each of its pairs -log(1 + sum over its other pairs of exp(theta + the message from
     the other end)). Sums are made per entity by aggregation, so an entity with very many pairs is no single task's
-    burden, and joined back to its pairs; rounds go on until no message moves by more than ``tolerance``.
+    burden, and joined back to its pairs; rounds go on until no message moves by more than ``tolerance``, and it is an error
+    if ``max_rounds`` do not bring that about.
     """
     state = keep(pairs.select("a", "b", "theta", F.lit(0.0).alias("from_a"), F.lit(0.0).alias("from_b")), "messages")
     for _ in range(max_rounds):
@@ -219,6 +220,8 @@ def marginals(pairs: DataFrame, tolerance: float = TOLERANCE, max_rounds: int =
         state = after
         if moved <= tolerance:
             break
+    else:
+        raise RuntimeError(f"messages still move by {moved:.3g} after {max_rounds} rounds")
     return state.df.select("a", "b", (1 / (1 + F.exp(-(F.col("theta") + F.col("from_a") + F.col("from_b"))))).alias("confidence"))
 
 

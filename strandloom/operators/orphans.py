@@ -46,12 +46,13 @@ def broken(ref: Reference, parent: DataFrame) -> DataFrame:
     return got.where(F.col("spans").isNull() | (F.col("at").isNotNull() & ~F.exists("spans", inside))).select("row_id", "at", "key", kind.alias("kind"))
 
 
-def orphan_cascade(refs: list[Reference], max_rounds: int = 50) -> DataFrame:
+def orphan_cascade(refs: list[Reference], max_rounds: int | None = None) -> DataFrame:
     """(table_name, row_id, at, key, kind, depth): depth 0 are direct orphans; at depth d the reference is held, but
     only by records that became orphans in round d - 1 or before (kind ``inherited``).
 
     Round by round only references to tables that gained orphans are looked at again, against the parent records that
-    are left. Tables may refer to themselves. The rounds are written to the shared folder.
+    are left. Tables may refer to themselves. The rounds are written to the shared folder. They go on until no orphan is
+    added; a limit, if given, is an error when it is reached before.
     """
     found: list[DataFrame] = []
     for r in refs:
@@ -65,7 +66,9 @@ def orphan_cascade(refs: list[Reference], max_rounds: int = 50) -> DataFrame:
         return out.select("table_name", "row_id", "at", "key", "kind", "depth")
     out = written(out, "orphans")
     changed, depth = {r.child_table for r in refs}, 0
-    while changed & parents and depth < max_rounds:
+    while changed & parents:
+        if depth == max_rounds:
+            raise RuntimeError(f"no fixed point after {max_rounds} rounds")
         depth += 1
         more = None
         for r in refs:

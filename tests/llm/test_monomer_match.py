@@ -1,4 +1,5 @@
 import pandas as pd
+import pytest
 
 from strandloom.functions.molgraph import canonical_smiles
 from strandloom.llm import monomer_match as m
@@ -85,3 +86,12 @@ def test_nulls_repeats_and_clashing_columns(spark):
 def test_empty(spark):
     got = m.match(spark.createDataFrame([], A), m.CYCPEPT, spark.createDataFrame([], B), m.CHEMBL)
     assert got.count() == 0
+
+
+def test_unfinished_messages_are_an_error(spark):
+    from strandloom.llm import monomer_match
+
+    pairs = spark.createDataFrame([("a", "x", 2.0), ("a", "y", 1.5), ("b", "x", 1.0)], "a string, b string, theta double")
+    with pytest.raises(RuntimeError):
+        monomer_match.marginals(pairs, max_rounds=1)
+    assert monomer_match.marginals(pairs).count() == 3

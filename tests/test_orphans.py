@@ -62,3 +62,12 @@ def test_spans(spark):
     refs = spark.createDataFrame([(1, t(2019), "s"), (2, t(2020), "s"), (3, t(2021), "s"), (4, t(2023), "s"), (5, None, "s"), (6, None, "no")], KEYS)
     got = o.orphan_cascade([o.Reference("c", refs, "p", held)])
     assert sorted((r.row_id, r.kind) for r in got.collect()) == [(1, "late"), (3, "deleted"), (6, "missing")]
+
+
+def test_unfinished_cascade_is_an_error(spark):
+    t = datetime(2024, 1, 1)
+    held = spark.createDataFrame([(i, str(i), None, None) for i in range(4)], HELD)
+    refs = spark.createDataFrame([(i, t, str(i - 1)) for i in range(4)], KEYS)
+    with pytest.raises(RuntimeError):
+        o.orphan_cascade([o.Reference("t", refs, "t", held)], max_rounds=2)
+    assert sorted(r.depth for r in o.orphan_cascade([o.Reference("t", refs, "t", held)]).collect()) == [0, 1, 2, 3]

@@ -103,7 +103,7 @@ def padded_signatures(spark, sf_dir):
 
 @query()
 def generated_library(spark, sf_dir):
-    """V6: a structure for each symbol from the first source that has one, else by turning round or methylating its parent."""
+    """A structure for each symbol of the library, else by turning round or methylating its parent (part of V6)."""
     lib = read(spark, sf_dir, "monomer_library").groupBy("symbol").agg(F.min_by("smiles", "monomer_id").alias("smiles"))
     parent = F.regexp_replace("symbol", "^(Me_d|me|d)", "")
     base = ch.structure_features(lib, "smiles").join(lib, "smiles").select(F.col("symbol").alias("parent"), "canonical", "mirrored", "methylated")

@@ -42,7 +42,7 @@ def token_vocabulary(spark, sf_dir):
 
 @query(f"WITH {_IDS} SELECT row_id, CAST(len(ids) AS INT) AS n_ids, array_to_string(ids, ' ') AS ids FROM e")
 def tokenise(spark, sf_dir):
-    """B1, B2: ids of each notation, cut to 512."""
+    """B1: ids of each notation, cut to 512."""
     return _encoded(spark, sf_dir).select("row_id", F.size("ids").alias("n_ids"), F.array_join("ids", " ").alias("ids"))
 
 
@@ -236,7 +236,7 @@ def pca_points(spark, sf_dir):
 
 @query("SELECT vec_id, round(concat_vec[1], 6) AS first, CAST(len(concat_vec) AS INT) AS size FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) || [CAST(label AS DOUBLE)] AS concat_vec FROM embeddings)")
 def fused_vectors(spark, sf_dir):
-    """Features put together."""
+    """Features put together."""
     c = F.concat(F.transform("embedding", lambda x: x.cast("double")), F.array(F.col("label").cast("double")))
     return read(spark, sf_dir, "embeddings").select("vec_id", F.round(c[0], 6).alias("first"), F.size(c).alias("size"))
 

@@ -13,15 +13,23 @@ GOOD = re.compile(r'(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*')
 
 @settings(max_examples=500, deadline=None)
 @given(st.text('a",b ', max_size=25), st.integers(1, 5))
-def test_zero_cost_is_well_formed(line, width):
-    fields = p.free_parse(line)
-    assert (fields is not None) == bool(GOOD.fullmatch(line))
-    quotes, delimiters, edits = p.least_edits(line, width)
-    assert (quotes == 0) == (fields is not None) and len(edits) == quotes + delimiters
-    if fields is not None:
-        assert delimiters == abs(len(fields) - width)
-        if line:
-            assert fields == next(csv.reader(io.StringIO(line, newline=""), strict=True))
+def test_no_quote_edit_is_well_formed(line, width):
+    got = p.read_line(line, width)
+    assert (got.quotes == 0) == bool(GOOD.fullmatch(line)) and len(got.edits) == got.quotes and len(got.places) == len(got.fields) - 1
+    if got.quotes == 0 and line:
+        assert got.fields == next(csv.reader(io.StringIO(line, newline=""), strict=True))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text('a",', max_size=12), st.integers(1, 4))
+def test_quote_edits_give_the_fields(line, width):
+    """Doing the edits leaves a well-formed line with the very fields that the path reads."""
+    got, mended = p.read_line(line, width), line
+    for place, what in reversed(got.edits):
+        mended = mended[:place] + ('"' + mended[place:] if what == "insert quote" else mended[place + 1 :])
+    assert GOOD.fullmatch(mended)
+    if mended:
+        assert got.fields == next(csv.reader(io.StringIO(mended, newline=""), strict=True))
 
 
 def brute_quote_edits(line):
@@ -38,7 +46,7 @@ def brute_quote_edits(line):
 @settings(max_examples=150, deadline=None)
 @given(st.text('a",', max_size=9))
 def test_quote_edits_are_fewest(line):
-    assert p.least_edits(line, 3)[0] == brute_quote_edits(line)
+    assert p.read_line(line, 3).quotes == brute_quote_edits(line)
 
 
 MONOMER = "A,ala,A,C[C@H](N)C(=O)O,Backbone,2,lib,"
@@ -80,8 +88,39 @@ def test_smiles_faults(text, want):
 
 def test_long_broken_line():
     line = "x," * 20_000 + '"'
-    q, d, edits = p.least_edits(line, 8)
-    assert q == 1 and d == 0 and edits[0].startswith("insert quote")  # one quote put in makes the rest one field
+    got = p.read_line(line, 8)
+    assert got.quotes == 1 and len(got.fields) == 8 and got.edits[0][1] == "insert quote"  # one quote put in makes the rest one field
+    assert p.judge("x," * 20_000, p.FEEDS["monomer_library"])[0] == "columns"
+
+
+@pytest.mark.parametrize(
+    "line,detail",
+    [
+        ("A,al,a,A,CC,Backbone,2,lib,", "delete delimiter at 6"),  # not at the end: the types there would not hold
+        ("A,ala,A,CC,2,lib,", "insert delimiter at 10; value of monomer_type"),
+        ("A,CC,Backbone,2,lib,", "insert delimiter at 1; insert delimiter at 1"),  # an empty name and analog
+        ('A,a"la,A,CC,Back,2,lib,', "delete quote at 3; value of monomer_type"),
+    ],
+)
+def test_types_guide_the_edits(line, detail):
+    assert p.judge(line, p.FEEDS["monomer_library"])[1] == detail
+
+
+def test_reasons_come_from_the_cost(monkeypatch):
+    """Without the program's quote edits, or without the price of columns, other reasons come out."""
+    feed, broken, wide = p.FEEDS["monomer_library"], MONOMER.replace("ala", 'a"la'), MONOMER + ","
+    monkeypatch.setattr(p, "read_line", lambda line, width: p.Reading(0, [], line.split(","), [0] * line.count(",")))
+    assert p.judge(broken, feed)[0] is None
+    monkeypatch.undo()
+    monkeypatch.setattr(p, "DELIMITER_COST", 0)
+    assert p.judge(wide, feed)[0] is None and p.judge(broken, feed)[0] == "quoting"
+
+
+def test_long_numbers_are_not_lost(spark):
+    lines = [(1, "monomer_library", MONOMER.replace(",2,", "," + "9" * 14 + ",")), (2, "monomer_library", MONOMER.replace(",2,", "," + "9" * 50 + ","))]
+    got = p.loaded(p.parse_lines(spark.createDataFrame(lines, "line_id long, feed string, raw_line string")), "monomer_library", p.FEEDS["monomer_library"]).orderBy("line_id").collect()
+    assert int(got[0].n_rgroups) == 10**14 - 1 and got[0].unread is None
+    assert got[1].n_rgroups is None and got[1].unread == "n_rgroups=" + "9" * 50
 
 
 def test_tables(spark, small):
@@ -91,4 +130,4 @@ def test_tables(spark, small):
     n = sum(p.loaded(parsed, name, feed).count() for name, feed in p.FEEDS.items())
     assert n + p.rejected(parsed).count() + comments == lines.count()
     assert p.parse_lines(lines.limit(0)).count() == 0
-    assert dict(p.loaded(parsed, "monomer_library", p.FEEDS["monomer_library"]).dtypes)["n_rgroups"] == "int"
+    assert dict(p.loaded(parsed, "monomer_library", p.FEEDS["monomer_library"]).dtypes)["n_rgroups"] == "decimal(38,0)"

@@ -71,3 +71,20 @@ def test_unfinished_cascade_is_an_error(spark):
     with pytest.raises(RuntimeError):
         o.orphan_cascade([o.Reference("t", refs, "t", held)], max_rounds=2)
     assert sorted(r.depth for r in o.orphan_cascade([o.Reference("t", refs, "t", held)]).collect()) == [0, 1, 2, 3]
+
+
+def test_report_has_inherited_orphans(spark):
+    """An entry whose analog comes later makes the rows of its symbol inherit; one other holder saves them."""
+    t = lambda y: datetime(y, 1, 1)
+    library = spark.createDataFrame([(1, "A", None, t(2021), None), (2, "meA", "A", t(2020), None), (3, "Z", "meA", t(2022), None), (4, "Q", "X", t(2020), None)], "monomer_id long, symbol string, natural_analog string, added_at timestamp, deleted_at timestamp").selectExpr("*", "cast(null as string) AS alt_symbols")
+    held, refs = o.library_holdings(library), o.analog_references(library)
+    rows = spark.createDataFrame([(10, t(2023), "Z"), (11, t(2023), "A"), (12, t(2023), "meA"), (13, t(2023), "no")], KEYS)
+    cascade = lambda h: sorted((r.table_name, r.row_id, r.kind, r.depth) for r in o.orphan_cascade([o.Reference("rows", rows, "lib", h), o.Reference("lib", refs, "lib", h)]).collect())
+    assert cascade(held) == [("lib", 2, "late", 0), ("lib", 3, "inherited", 1), ("rows", 10, "inherited", 2), ("rows", 12, "inherited", 1), ("rows", 13, "missing", 0)]
+    more = held.unionByName(spark.createDataFrame([(5, "meA", t(2020), None)], HELD))
+    assert cascade(more) == [("lib", 2, "late", 0), ("rows", 13, "missing", 0)]
+
+
+def test_report_over_the_tables(spark, small):
+    got = o.p7_report(spark, small).groupBy("origin").count().collect()
+    assert {r.origin for r in got} == {"direct", "inherited"}

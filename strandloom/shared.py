@@ -62,9 +62,12 @@ def keep(df: DataFrame, name: str) -> Kept:
     return Kept(spark, path, df.schema)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``keep(df, name).df`` for tables that live as long as the result."""
-    return keep(df, name).df
+def written(df: DataFrame, name: str, *used: Kept) -> DataFrame:
+    """``keep(df, name).df`` for tables that live as long as the result; the tables ``used`` up by it are dropped."""
+    out = keep(df, name).df
+    for table in used:
+        table.drop()
+    return out
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import is_blank, trimmed
 from ..operators.joins import fits, hot_keys, keyed_join
-from ..shared import written
 
 #: Texts that stand for a missing value, besides null and blank, in any case (fixed values).
 MISSING = ["na", "n/a", "none", "-", "?"]
@@ -73,22 +72,30 @@ def layers(points: DataFrame) -> DataFrame:
     return gathered.select("group_key", "field", "n", "least", F.explode(done).alias("c")).select("group_key", "field", "n", "least", "c.*")
 
 
+def chosen(layered: DataFrame) -> DataFrame:
+    """One row per group of layers(): group_key, group_id, n_records, and the record and layer each field comes from.
+
+    A field is served by the first layer that has a holder of it, where the field's policy picks among the holders of
+    that layer only; a layer without a holder leaves the field to the next one. Null if no layer has one.
+    """
+    first = {"more": F.col("complete"), "trust": F.col("trust"), "time": F.col("time")}
+    picks = []
+    for f, policy in POLICY.items():
+        rank = F.struct((-F.col("layer")).alias("layer"), *[first[p].alias(p) for p in policy], (-F.col("record_id")).alias("neg"))
+        picks.append(F.max(F.when((F.col("field") == f) & (F.col("complete") > 0), rank)).alias(f))
+    got = layered.groupBy("group_key").agg(F.min("least").alias("group_id"), F.max("n").alias("n_records"), *picks)
+    return got.select("group_key", "group_id", "n_records", *[x for f in POLICY for x in ((-F.col(f"{f}.neg")).alias(f"{f}_record"), (-F.col(f"{f}.layer")).alias(f"{f}_layer"))])
+
+
 def survivors(records: DataFrame, trust: DataFrame) -> DataFrame:
     """One row per group of two or more records: group_id (smallest record_id), group_key, n_records, and for each
     field of POLICY the record_id that gives its value (null if every record lacks it) and the layer it came from.
 
-    The policy's first choice among records that hold the field is never dominated by another holder, so it lies on
-    the first layer that has a holder; lower layers serve a field only where the layers above lack it.
-    Records with null or blank helm_notation belong to no group. Ties end at the smallest record_id.
+    Completeness is a dimension of its field's layers, so a holder is dominated by holders only, and the first of any
+    lexicographic policy lies on layer 1. Records with null or blank helm_notation belong to no group. Ties end at the
+    smallest record_id.
     """
-    rows = written(layers(cells(scored(records, trust))), "layers").where("n > 1")
-    out = rows.groupBy("group_key").agg(F.min("least").alias("group_id"), F.max("n").alias("n_records"))
-    for f, policy in POLICY.items():
-        first = {"more": F.col("complete"), "trust": F.col("trust"), "time": F.col("time")}
-        rank = F.struct(*[first[p].alias(p) for p in policy], (-F.col("record_id")).alias("neg"), F.col("layer").alias("layer"))
-        best = rows.where((F.col("field") == f) & (F.col("complete") > 0)).groupBy("group_key").agg(F.max(rank).alias("b"))
-        out = out.join(best.select("group_key", (-F.col("b.neg")).alias(f"{f}_record"), F.col("b.layer").alias(f"{f}_layer")), "group_key", "left")
-    return out
+    return chosen(layers(cells(scored(records, trust))).where("n > 1"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +108,7 @@ def p5_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = spark.read.parquet(f"{sf_dir}/compound_records.parquet")
     got = survivors(records, spark.read.parquet(f"{sf_dir}/source_trust.parquet"))
     for f in POLICY:
-        values = records.select(F.col("record_id").alias(f"{f}_record"), F.trim(f).alias(f))
+        values = records.select(F.col("record_id").alias(f"{f}_record"), trimmed(f).alias(f))
         got = got.join(values, f"{f}_record", "left")
     return got.select("group_id", F.col("group_key").alias("helm_notation"), "n_records", *POLICY)
 
@@ -109,9 +116,12 @@ def p5_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p5_found": p5_found, "p5_survivors": p5_survivors}
 _GAP = lambda c: f"({c} IS NULL OR lower(trim({c}, e' \\t\\n')) IN ('', 'na', 'n/a', 'none', '-', '?'))"
 _IDS = "len(list_distinct(list_filter(list_transform(string_split(source_ids, ';'), lambda x: trim(x, e' \\t\\n')), lambda x: x <> '')))"
+_SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x{000B}\x{001C}-\x{001F}]"
+_PICKED = f"""
+WITH r AS (SELECT trim(helm_notation, e' \\t\\n') AS h, record_id, coalesce(trust, 0) AS t, coalesce(epoch_us(updated_at), -4000000000000000000) AS w, {_GAP('normalized_smiles')} AS no_s, {_GAP('source_ids')} AS no_i, {_GAP('molecule_type')} AS no_m, {_IDS} AS k FROM compound_records LEFT JOIN source_trust USING (source)),
+p AS (SELECT h, count(*) AS n, min(record_id) AS group_id, arg_min(record_id, row(-t, -w, record_id)) FILTER (NOT no_s) AS smiles_from, arg_min(record_id, row(-k, -t, -w, record_id)) FILTER (NOT no_i) AS source_ids_from, arg_min(record_id, row(-w, -t, record_id)) FILTER (NOT no_m) AS type_from FROM r WHERE h <> '' GROUP BY h HAVING count(*) > 1)"""
+_VALUE = lambda f, c: f"(SELECT regexp_replace({f}, '^{_SPACE}+|{_SPACE}+$', '', 'g') FROM compound_records WHERE record_id = {c}) AS {f}"
 SQL = {
-    "p5_found": f"""
-WITH r AS (SELECT trim(helm_notation, e' \\t\\n') AS h, record_id, coalesce(trust, 0) AS t, coalesce(epoch_us(updated_at), -4000000000000000000) AS w, {_GAP('normalized_smiles')} AS no_s, {_GAP('source_ids')} AS no_i, {_GAP('molecule_type')} AS no_m, {_IDS} AS k FROM compound_records LEFT JOIN source_trust USING (source))
-SELECT min(record_id) AS group_id, arg_min(record_id, row(-t, -w, record_id)) FILTER (NOT no_s) AS smiles_from, arg_min(record_id, row(-k, -t, -w, record_id)) FILTER (NOT no_i) AS source_ids_from, arg_min(record_id, row(-w, -t, record_id)) FILTER (NOT no_m) AS type_from
-FROM r WHERE h <> '' GROUP BY h HAVING count(*) > 1"""
+    "p5_found": f"{_PICKED} SELECT group_id, smiles_from, source_ids_from, type_from FROM p",
+    "p5_survivors": f"{_PICKED} SELECT group_id, h AS helm_notation, n AS n_records, {_VALUE('normalized_smiles', 'smiles_from')}, {_VALUE('source_ids', 'source_ids_from')}, {_VALUE('molecule_type', 'type_from')} FROM p",
 }

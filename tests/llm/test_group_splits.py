@@ -1,5 +1,6 @@
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.llm import group_splits as g
 
@@ -67,14 +68,23 @@ def test_empty_and_null_tables(spark):
 
 
 def test_shares_of_many_small_groups(spark):
-    sizes = spark.range(4000).selectExpr("cast(id as string) group_key", "1 n")
-    placed, w = g.place_components(sizes, g.SHARES)
-    assert not placed
-    got = {r["s"]: r["count"] for r in sizes.select(g.rendezvous(w, "group_key").alias("s")).groupBy("s").count().collect()}
+    sizes = spark.range(4000).selectExpr("'t' AS table_name", "cast(id as string) group_key", "1 n")
+    one = sizes.select(g.rendezvous(g.SHARES, "split", F.lit(0), F.col("group_key")).alias("s")).groupBy("s").count().collect()
+    got = {r["s"]: r["count"] for r in one}
     assert abs(got["train"] / 4000 - 0.8) < 0.03 and abs(got["test"] / 4000 - 0.1) < 0.02
 
 
-def test_a_giant_component_goes_where_it_fits(spark):
-    sizes = spark.createDataFrame([("giant", 500)] + [(f"g{i}", 1) for i in range(500)], "group_key string, n long")
-    placed, w = g.place_components(sizes, g.SHARES)
-    assert dict(placed)["giant"] == "train" and w["test"] > 0
+def test_salt_brings_large_groups_near_the_shares(spark):
+    """Every component is hashed, however large; only the salt is chosen."""
+    rows = [("t", f"big{i}", n) for i, n in enumerate((400, 120, 90, 70, 60, 30))] + [("t", f"g{i}", 1) for i in range(230)]
+    sizes = spark.createDataFrame(rows, "table_name string, group_key string, n long")
+    salt = g.best_salts(sizes, g.SHARES).first()["salt"]
+    split = sizes.select("n", g.rendezvous(g.SHARES, "split", F.lit(salt), F.col("group_key")).alias("s")).groupBy("s").agg(F.sum("n").alias("n")).collect()
+    assert all(abs(r["n"] / 1000 - g.SHARES[r["s"]]) < 0.04 for r in split) and len(split) == 3
+    brute = lambda k: max(abs(sum(r["n"] for r in sizes.select("n", g.rendezvous(g.SHARES, "split", F.lit(k), F.col("group_key")).alias("s")).collect() if r["s"] == s) - w * 1000) for s, w in g.SHARES.items())
+    assert brute(salt) <= min(brute(k) for k in (0, 1, 2))
+
+
+def test_shares_near_the_goal_in_each_table(spark):
+    got = g.p1_shares(spark, "/root/testdata/sf0.01").collect()
+    assert all(abs(r["share"] - g.SHARES[r["split"]]) < 0.03 for r in got) and len(got) == 6

@@ -51,5 +51,22 @@ def test_layers(spark):
     assert {r.record_id: r.layer for r in s.layers(points).collect()} == {1: 1, 2: 2, 3: 1, 4: 3}
 
 
+def test_layers_decide(spark):
+    """The policy's first holder is passed over if it lies on a lower layer; where layer 1 lacks a field, layer 2 serves it."""
+    cell = "group_key string, field string, complete int, trust int, time long, record_id long, n long, least long, layer int"
+    rows = [("g", "normalized_smiles", 1, 9, 10, 1, 4, 1, 2), ("g", "normalized_smiles", 1, 2, 20, 2, 4, 1, 1), ("g", "molecule_type", 0, 9, 90, 3, 4, 1, 1), ("g", "molecule_type", 1, 1, 5, 4, 4, 1, 2)]
+    got = s.chosen(spark.createDataFrame(rows, cell)).first()
+    assert (got.normalized_smiles_record, got.normalized_smiles_layer, got.molecule_type_record, got.molecule_type_layer, got.source_ids_record) == (2, 1, 4, 2, None)
+
+
+def test_without_dominance_the_rows_change(spark, monkeypatch):
+    """Layers by another order (the oldest and least trusted first) give other survivors."""
+    sf = "/root/testdata/sf0.001"
+    want, layers = sorted(map(tuple, s.p5_found(spark, sf).collect())), s.layers
+    turned = lambda p: layers(p.selectExpr("group_key", "field", "complete", "-trust AS trust", "-time AS time", "record_id", "n", "least")).selectExpr("group_key", "field", "n", "least", "complete", "-trust AS trust", "-time AS time", "record_id", "layer")
+    monkeypatch.setattr(s, "layers", turned)
+    assert sorted(map(tuple, s.p5_found(spark, sf).collect())) != want
+
+
 def test_empty(spark):
     assert s.survivors(spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "source string, trust int")).count() == 0

@@ -17,8 +17,6 @@ ORDERS = {"-": 1, "=": 2, "#": 3, "$": 1, ":": AROMATIC_BOND, "/": 1, "\\": 1}
 #: Usual valences (fixed values).
 VALENCES = {"B": (3,), "C": (4,), "N": (3, 5), "O": (2,), "P": (3, 5), "S": (2, 4, 6), "F": (1,), "Cl": (1,), "Br": (1,), "I": (1,)}
 HYDROGEN = -1
-#: Larger structures are not read: canonical order takes the square of the size.
-MAX_ATOMS = 2000
 _R_GROUP = re.compile(r"\[R(\d*)\]")
 
 
@@ -43,6 +41,7 @@ class Molecule:
     def __init__(self):
         self.atoms: list[Atom] = []
         self.bonds: list[dict[int, int]] = []
+        self.rings: list[tuple[int, ...]] | None = None  # as last looked for
 
     def add(self, atom: Atom) -> int:
         self.atoms.append(atom)
@@ -53,6 +52,7 @@ class Molecule:
         if a == b or b in self.bonds[a]:
             raise NoMolecule("bond")
         self.bonds[a][b] = self.bonds[b][a] = order
+        self.rings = None
 
     def without(self, gone: set[int]) -> "Molecule":
         """The graph without some atoms; what was bonded to them gets hydrogens."""
@@ -73,7 +73,7 @@ def parse(text: str | None) -> Molecule:
     s = _R_GROUP.sub(lambda x: f"[*:{x[1] or 0}]", core(text))
     if not s:
         raise NoMolecule("blank")
-    m, stack, before, bond, rings = Molecule(), [], None, None, {}
+    m, stack, before, bond, rings, lone = Molecule(), [], None, None, {}, {}  # lone: where a centre of three neighbours has its lone pair
     at = 0
     while at < len(s):
         t = TOKEN.match(s, at)
@@ -102,6 +102,8 @@ def parse(text: str | None) -> Molecule:
                 a.order.append(before)
             if a.hydrogens == 1 and a.bracket:
                 a.order.append(HYDROGEN)
+            elif a.turn:
+                lone[i] = len(a.order)
             before, bond = i, None
         elif kind == "bond":
             bond = ORDERS[token]
@@ -131,8 +133,11 @@ def parse(text: str | None) -> Molecule:
             bond = None
     if stack or rings:
         raise NoMolecule("ring" if rings else "parenthesis")
-    if not 0 < len(m.atoms) <= MAX_ATOMS:
-        raise NoMolecule("size")
+    if not m.atoms:
+        raise NoMolecule("blank")
+    for i, place in lone.items():
+        if len(m.atoms[i].order) == 3:
+            m.atoms[i].order.insert(place, HYDROGEN)
     _single_between_rings(m)
     _fill_hydrogens(m)
     _name_groups(m, text or "")
@@ -171,29 +176,50 @@ def _name_groups(m: Molecule, text: str) -> None:
             m.atoms[i].label = m.atoms[i].label or int(number[1])
 
 
-def rings(m: Molecule, longest: int = 8) -> list[tuple[int, ...]]:
-    """The shortest ring through each bond that is in one, up to a size."""
+RING_SIZE = 8
+
+
+def rings(m: Molecule, longest: int = RING_SIZE) -> list[tuple[int, ...]]:
+    """The shortest ring through each bond that is in one, up to a size (at most RING_SIZE). Only what is left without the branches is
+    searched, and no further than the size, so long chains and large rings cost no more than their length."""
+    if m.rings is None:
+        m.rings = _find_rings(m)
+    return [r for r in m.rings if len(r) <= longest]
+
+
+def _find_rings(m: Molecule) -> list[tuple[int, ...]]:
+    degree = [len(near) for near in m.bonds]
+    ends = [i for i, d in enumerate(degree) if d == 1]
+    while ends:
+        i = ends.pop()
+        degree[i] = 0
+        for j in m.bonds[i]:
+            if degree[j]:
+                degree[j] -= 1
+                if degree[j] == 1:
+                    ends.append(j)
     found = {}
     for a, near in enumerate(m.bonds):
+        if not degree[a]:
+            continue
         for b in near:
-            if a > b:
+            if a > b or not degree[b]:
                 continue
-            back, front = {a: None}, [a]
-            while front and b not in back:
-                new = []
+            back, front, depth = {a: None}, [a], 1
+            while front and b not in back and depth < RING_SIZE:
+                new, depth = [], depth + 1
                 for x in front:
                     for y in m.bonds[x]:
-                        if y not in back and not (x == a and y == b):
+                        if degree[y] and y not in back and not (x == a and y == b):
                             back[y] = x
                             new.append(y)
-                front = new if len(back) < 4000 else []
+                front = new
             if b in back:
                 path, x = [], b
                 while x is not None:
                     path.append(x)
                     x = back[x]
-                if len(path) <= longest:
-                    found[frozenset(path)] = tuple(path)
+                found[frozenset(path)] = tuple(path)
     return list(found.values())
 
 
@@ -240,43 +266,96 @@ def _parity(order: list, rank: list[int]) -> int:
     return -1 if swaps % 2 else 1
 
 
-def _dense(keys: list) -> list[int]:
-    at = {k: i for i, k in enumerate(sorted(set(keys)))}
-    return [at[k] for k in keys]
+class Ranks:
+    """Atoms in classes; an atom's rank is the number of atoms in the classes before its own.
+
+    Classes are split by what their atoms are bonded to. When some atoms of a class see a neighbour's rank change, they
+    part from those that see none, which keep their rank, and among themselves by the new ranks around them. Only
+    neighbours of atoms whose rank changed are looked at, so a chain costs its length. Every choice goes by ranks and keys, so it
+    does not depend on the order in which a molecule is written.
+    """
+
+    def __init__(self, m: Molecule, keys: list):
+        self.m, self.rank, self.members = m, [0] * len(keys), {}
+        by: dict = {}
+        for i, k in enumerate(keys):
+            by.setdefault(k, set()).add(i)
+        at = 0
+        for k in sorted(by):
+            self.members[at] = by[k]
+            for i in by[k]:
+                self.rank[i] = at
+            at += len(by[k])
+        self._refine(range(len(keys)))
+
+    def _part(self, r: int, groups: dict) -> list[int]:
+        """Atoms of class r go to new classes by their key, after those that stay; returns the ones whose rank changed."""
+        own, moved = self.members[r], []
+        at = r + len(own) - sum(map(len, groups.values()))
+        for k in sorted(groups):
+            atoms = groups[k]
+            if at > r:
+                own.difference_update(atoms)
+                self.members[at] = set(atoms)
+                for i in atoms:
+                    self.rank[i] = at
+                moved += atoms
+            at += len(atoms)
+        return moved
+
+    def _refine(self, touched) -> None:
+        rank, bonds = self.rank, self.m.bonds
+        while touched:
+            groups: dict[int, dict] = {}
+            for i in touched:
+                if len(self.members[rank[i]]) > 1:
+                    key = tuple(sorted([(rank[j], o) for j, o in bonds[i].items()]))
+                    groups.setdefault(rank[i], {}).setdefault(key, []).append(i)
+            moved = [i for r, by in groups.items() for i in self._part(r, by)]
+            touched = {j for i in moved for j in bonds[i]}
+
+    def split(self, keys: dict[int, int]) -> bool:
+        """Split classes by the keys of their atoms (0 for those without one); whether any class was."""
+        groups: dict[int, dict] = {}
+        for i, k in keys.items():
+            groups.setdefault(self.rank[i], {}).setdefault(k, []).append(i)
+        moved = [i for r, by in groups.items() for i in self._part(r, by)]
+        self._refine({j for i in moved for j in self.m.bonds[i]})
+        return bool(moved)
+
+    def single_out(self) -> None:
+        """Break ties, the first class first, by setting one of its atoms apart, until every atom has its own rank."""
+        at = 0
+        while at < len(self.rank):
+            if len(self.members[at]) == 1:
+                at += 1
+                continue
+            one = min(self.members[at])
+            self._refine({j for i in self._part(at, {0: [one]}) for j in self.m.bonds[i]})
 
 
-def _refine(m: Molecule, rank: list[int]) -> list[int]:
-    n = len(set(rank))
-    while True:
-        rank = _dense([(rank[i], tuple(sorted((rank[j], o) for j, o in m.bonds[i].items()))) for i in range(len(rank))])
-        if len(set(rank)) == n:
-            return rank
-        n = len(set(rank))
+def _classes(m: Molecule, stereo: bool) -> Ranks:
+    ring_sizes: list[list[int]] = [[] for _ in m.atoms]
+    for r in rings(m):
+        for i in r:
+            ring_sizes[i].append(len(r))
+    got = Ranks(m, [(a.symbol, a.aromatic, a.charge, a.isotope, a.hydrogens, a.label, len(near), tuple(sorted(sizes))) for a, near, sizes in zip(m.atoms, m.bonds, ring_sizes)])
+    centres = [i for i, a in enumerate(m.atoms) if a.turn] if stereo else []
+    while centres and got.split({i: t for i in centres if (t := m.atoms[i].turn * _parity(m.atoms[i].order, got.rank))}):
+        pass
+    return got
 
 
 def classes(m: Molecule, stereo: bool = True) -> list[int]:
     """Equal numbers for atoms that look alike from everywhere, stereo centres included."""
-    rank = _refine(m, _dense([(a.symbol, a.aromatic, a.charge, a.isotope, a.hydrogens, a.label, len(near)) for a, near in zip(m.atoms, m.bonds)]))
-    while stereo:
-        turns = [a.turn * _parity(a.order, rank) if a.turn else 0 for a in m.atoms]
-        new = _refine(m, _dense(list(zip(rank, turns))))
-        if len(set(new)) == len(set(rank)):
-            break
-        rank = new
-    return rank
+    return _classes(m, stereo).rank
 
 
 def _unique(m: Molecule, stereo: bool) -> tuple[list[int], list[int]]:
-    same = classes(m, stereo)
-    rank = same
-    while len(set(rank)) < len(rank):
-        count: dict[int, int] = {}
-        for r in rank:
-            count[r] = count.get(r, 0) + 1
-        tied = min(r for r, c in count.items() if c > 1)
-        first = rank.index(tied)
-        rank = _refine(m, _dense([(r, 0 if i == first else 1) for i, r in enumerate(rank)]))
-    return same, rank
+    ranks = _classes(m, stereo)
+    same = list(ranks.rank)
+    ranks.single_out()
+    return same, ranks.rank
 
 
 def canonical(m: Molecule, stereo: bool = True) -> str:

@@ -22,7 +22,7 @@ def rewritten(m, seed):
     return n
 
 
-MOLECULES = ["N[C@@H](C)C(=O)O", "CC(C)(C)c1ccc2[nH]ccc2c1", "[*:1]N[C@@H](CC1(CC1)C(F)(F)C)C(=O)[*:2]", "N9[C@@H](CC(C)C)C(=O)N[C@H](C(C)C)C9=O", "C[C@H](O)[C@@H](N)C(=O)O.Cl", "c1ccc(cc1)-c1ccccc1", "C12C3C4C1C5C2C3C45", "CS(=O)(=O)c1cc(sc1)C#N", "[NH4+].[O-]C=O", "C[C@]12CCC[C@H]1CCC2"]
+MOLECULES = ["N[C@@H](C)C(=O)O", "CC(C)(C)c1ccc2[nH]ccc2c1", "[*:1]N[C@@H](CC1(CC1)C(F)(F)C)C(=O)[*:2]", "N9[C@@H](CC(C)C)C(=O)N[C@H](C(C)C)C9=O", "C[C@H](O)[C@@H](N)C(=O)O.Cl", "c1ccc(cc1)-c1ccccc1", "C12C3C4C1C5C2C3C45", "CS(=O)(=O)c1cc(sc1)C#N", "[NH4+].[O-]C=O", "C[C@]12CCC[C@H]1CCC2", "C1CC1.C1CC1.C1CCCCC1", "C1CCC2CCCCC2C1.C1CCC(C1)C1CCCC1", "C1C2CC3CC1CC(C2)C3", "CC[S@](=O)C", "c1ccc2cc3ccccc3cc2c1", "C1CC2CC1CC2C1CC1"]
 
 
 @pytest.mark.parametrize("text", MOLECULES)
@@ -55,7 +55,17 @@ def test_scaffold(text, want):
     assert g.scaffold(g.parse(text)) == (g.canonical_smiles(want) or "")
 
 
-@pytest.mark.parametrize("text", ["", None, "C1CC", "C(", "[Zz]", "CC)", "=", "1CC1", "C11", "((((", "C" * 3000])
+def test_long_molecules():
+    """No bound on the size: a long chain, and a long peptide in two ways to write it."""
+    chain = g.canonical_smiles("C" * 30_000)
+    assert chain.count("C") == 30_000 and g.canonical_smiles(chain) == chain
+    m = g.parse("N[C@@H](CC(C)C)C(=O)" * 1_200 + "O")
+    assert len(m.atoms) > 9_000
+    assert g.canonical(rewritten(m, 1)) == g.canonical(m)
+    assert g.canonical_smiles("C[S@](=O)CC") == g.canonical_smiles("CC[S@@](=O)C") != g.canonical_smiles("C[S@@](=O)CC")
+
+
+@pytest.mark.parametrize("text", ["", None, "C1CC", "C(", "[Zz]", "CC)", "=", "1CC1", "C11", "(((("])
 def test_odd_texts(text):
     assert g.canonical_smiles(text) is None
 

@@ -9,87 +9,80 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.molgraph import NoMolecule, canonical, group_labels, parse
 from ..functions.smiles import core
-from ..shared import keep, spread, written
+from ..operators.chemistry import per_distinct
+from ..operators.joins import fits
+from ..shared import keep, written
 
-#: A word of the names is taken as rightly spelt if at least this share of the rows (and WORD_ROWS rows) has it.
-WORD_SHARE, WORD_ROWS = 0.02, 3
+#: A word is rightly spelt if so many records have it and no word within two edits is so many times as frequent (in
+#: words of one or two letters, which are all alike, the second figure).
+WORD_ROWS, WORD_RATIO, SHORT_RATIO = 3, 10, 100
 #: Log-odds of the evidence (equal, unequal), and of a pair before any.
-STRUCTURE, NAME, NEAR_NAME, SYMBOL, GROUPS, KIND, PRIOR = (14.0, -14.0), (10.0, -12.0), 7.0, (3.0, -3.0), (0.5, -2.0), (0.5, -1.0), -6.0
+STRUCTURE, NAME, NEAR_NAME, SYMBOL, GROUPS, KIND, PRIOR = 26.0, (10.0, -12.0), (7.0, -8.0), (3.0, -3.0), (0.5, -2.0), (0.5, -1.0), -6.0
 #: Of a cut structure's 5-character shingles, the share found in the other's text, and its log-odds.
 CONTAINED = ((0.85, 4.0), (0.6, 1.0), (-1.0, -5.0))
-LIMIT, TOLERANCE, MAX_ROUNDS, CONFIDENT = 20.0, 1e-3, 40, 0.5
+LIMIT, TOLERANCE, CONFIDENT = 20.0, 1e-3, 0.5
+#: Rounds in which messages are replaced whole; later ones move by a share that shrinks, so that none swing for ever.
+FULL_ROUNDS = 10
 GENERIC = re.compile(r"(?i)^(mono|x)\d+$")
 
 
-def edits(a: str, b: str, most: int = 2) -> int:
-    """Insertions, deletions, changes and swaps of neighbours between two words, most + 1 if there are more."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    two, one = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            d = min(one[j] + 1, row[-1] + 1, one[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, two[j - 2] + 1)
-            row.append(d)
-        two, one = one, row
-    return min(one[-1], most + 1)
-
-
-class Speller:
-    """Puts misspelt words right by the frequent ones: the one nearest word within two edits, or two words run together."""
-
-    def __init__(self, words: list[str]):
-        self.words, self.memo = set(words), {w: ((w,), True) for w in words}
-
-    def word(self, w: str) -> tuple[tuple[str, ...], bool]:
-        if w not in self.memo:
-            if len(self.memo) > 100_000:
-                self.memo = {x: ((x,), True) for x in self.words}
-            self.memo[w] = self._find(w)
-        return self.memo[w]
-
-    def _find(self, w):
-        if len(w) < 2:
-            return (w,), False
-        found = sorted((edits(w, x), x) for x in self.words if len(x) > 2)
-        found = [x for x in found if x[0] <= (2 if len(w) > 4 else 1)]
-        if found and (len(found) == 1 or found[0][0] < found[1][0]):
-            return (found[0][1],), True
-        for i in range(1, len(w)):
-            a, b = w[:i], w[i:]
-            if a in self.words and b in self.words:
-                return (a, b), True
-        for i in range(3, len(w) - 2):
-            for a, b in ((w[:i], w[i:]),):
-                for known, rest, first in ((a, b, True), (b, a, False)):
-                    near = [x for x in self.words if len(x) > 2 and edits(rest, x, 1) == 1] if known in self.words else []
-                    if len(near) == 1:
-                        return ((known, near[0]) if first else (near[0], known)), True
-        return (w,), False
-
-    def name(self, text: str | None) -> tuple[list[str] | None, bool]:
-        """(words, all of them known); None if the text names nothing (fewer than three words)."""
-        out, sure = [], True
-        for w in re.findall(r"[a-z0-9]+", (text or "").lower()):
-            right, known = self.word(w)
-            out += right
-            sure &= known
-        return (out, sure) if len(out) > 2 else (None, False)
-
-
-def symbol_core(symbol: str | None) -> str | None:
-    """Letters of a symbol without running numbers; ``NMe-`` as ``me``; None for generic symbols."""
-    s = (symbol or "").strip()
-    if not s or GENERIC.match(s):
-        return None
-    s = re.sub(r"(_\d+|-\d+|\(\d+\))$", "", s)
-    return re.sub(r"^nme-?", "me", s.lower()) or None
+def _near_keys(word: Column, own: bool) -> Column:
+    """Keys by which words within two edits meet: two edits leave one of a word's three parts whole, at most two places
+    off. ``own``: the parts themselves; else what another word holds there, for each length within two."""
+    n = F.length(word)
+    cut = lambda size, i: F.floor(size * i / 3).cast("int")
+    key = lambda size, i, shift: F.concat_ws(":", size.cast("string"), i.cast("string"), F.substring(word, cut(size, i) + shift + 1, cut(size, i + 1) - cut(size, i)))
+    parts = F.array(*[F.lit(i) for i in range(3)])
+    if own:
+        return F.transform(parts, lambda i: key(n, i, F.lit(0)))
+    every = lambda low, high, fn: F.flatten(F.transform(F.sequence(F.lit(low), F.lit(high)), fn))
+    at = lambda size, i: F.transform(F.filter(F.sequence(F.lit(-2), F.lit(2)), lambda d: cut(size, i) + d >= 0), lambda d: key(size, i, d))
+    return F.array_distinct(every(-2, 2, lambda d: F.flatten(F.transform(parts, lambda i: at(n + d, i)))))
+
+
+def spelling(words: DataFrame) -> DataFrame:
+    """(w, right array<string>) of the words of (w, n) that can be read: rightly spelt ones, misspelt ones with the one
+    nearest frequent word, and two rightly spelt ones run together.
+
+    A word has a rival if another one within two edits (one in words of up to four letters, where a swap of neighbours
+    counts as one) is WORD_RATIO times as frequent. A word with rivals is misspelt: it stands for the nearest, or for
+    nothing if two are as near. All is joins over the distinct words.
+    """
+    frequent = words.where(F.col("n") >= WORD_RATIO).select(F.col("w").alias("x"), F.col("n").alias("n_x"), F.explode(_near_keys(F.col("w"), True)).alias("key"))
+    probes = words.select("w", "n", F.explode(_near_keys(F.col("w"), False)).alias("key"))
+    pairs = probes.join(frequent, "key").where("w <> x").where(F.col("n_x") >= F.col("n") * F.when(F.length("w") > 2, WORD_RATIO).otherwise(SHORT_RATIO)).select("w", "x").distinct()
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    d = F.levenshtein("w", "x")
+    d = F.when((d == 2) & (F.length("w") == F.length("x")) & (letters("w") == letters("x")), 1).otherwise(d)
+    near = pairs.withColumn("d", d).where(F.col("d") <= F.when(F.length("w") > 4, 2).otherwise(1))
+    best = near.groupBy("w").agg(F.min(F.struct("d", "x")).alias("best"), F.min("d").alias("d0"), F.collect_set(F.struct("d", "x")).alias("all"))  # frequent words within two edits
+    one = F.size(F.filter("all", lambda r: r["d"] == F.col("d0"))) == 1
+    judged = words.join(best, "w", "left")
+    known = judged.where(F.col("best").isNull() & (F.col("n") >= WORD_ROWS)).select("w", F.array("w").alias("right"))
+    fixed = judged.where(one & (F.length("best.x") > 2) & (F.length("w") > 1)).select("w", F.array("best.x").alias("right"))
+    done = written(known.unionByName(fixed), "words")
+    sound = done.where("right[0] = w").select("w")
+    rest = words.join(done, "w", "left_anti").where("length(w) > 3").select("w", F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("i"))
+    halves = rest.select("w", "i", F.expr("left(w, i)").alias("l"), F.expr("substring(w, i + 1)").alias("r"))
+    joined = halves.join(sound.withColumnRenamed("w", "l"), "l", "left_semi").join(sound.withColumnRenamed("w", "r"), "r", "left_semi")
+    return done.unionByName(joined.groupBy("w").agg(F.min_by(F.array("l", "r"), "i").alias("right")))
+
+
+def read_names(names: DataFrame) -> DataFrame:
+    """(name, words, sure) of distinct (name, n): its words as they are rightly spelt, and whether all could be read.
+    Names of fewer than three words name nothing and have no row."""
+    tokens = F.regexp_extract_all(F.lower("name"), F.lit("[a-z0-9]+"), F.lit(0))
+    words = names.select("n", F.explode(F.array_distinct(tokens)).alias("w")).groupBy("w").agg(F.sum("n").alias("n"))
+    right = spelling(written(words, "counts"))
+    each = names.select("name", F.posexplode(tokens).alias("i", "w"))
+    read = each.join(F.broadcast(right) if fits(right, 300) else right, "w", "left").withColumn("sure", F.col("right").isNotNull())
+    read = read.withColumn("right", F.coalesce("right", F.array("w")))
+    got = read.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("i", "right"))).alias("all"), F.min("sure").alias("sure"))  # the words of one name
+    return got.select("name", F.flatten(F.transform("all", lambda x: x["right"])).alias("words"), "sure").where("size(words) > 2")
 
 
 def read_structure(text: str | None) -> tuple[str | None, int | None, str | None]:
@@ -118,101 +111,102 @@ def contained(cut: str | None, whole: str | None, k: int = 5) -> float | None:
     return sum(x in b for x in mine) / len(mine) if len(mine) > 3 else None
 
 
-FEATURES = "side string, id long, key string, n_groups int, cut string, written string, words array<string>, sure boolean, symbol string, kind string"
-
-
 def features(sides: list[tuple[str, DataFrame, dict[str, str]]]) -> DataFrame:
-    """One row per record with what its attributes say; ``sides`` maps id, smiles, name, symbol, kind, groups to columns."""
+    """One row per record with what its attributes say: side, id, key (canonical structure), n_groups, cut (what is there
+    of a cut structure), written, words, name (null unless every word could be read), symbol, kind. ``sides`` maps id, smiles,
+    name, symbol, kind, groups to columns. Structures and names are read once for each distinct text."""
     rows = None
     for side, df, c in sides:
         part = df.select(F.lit(side).alias("side"), F.col(c["id"]).cast("long").alias("id"), *[F.col(c[x]).cast("string").alias(x) for x in ("smiles", "name", "symbol", "kind")], F.col(c["groups"]).cast("int").alias("groups"))
         rows = part if rows is None else rows.unionByName(part)
-    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("name"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("w")).groupBy("w").count()
-    least = max(WORD_ROWS, WORD_SHARE * rows.count())
-    known = [r["w"] for r in words.where(F.col("count") >= least).select("w").collect()]  # at most the words of a name, over WORD_SHARE
-
-    def read(batches):
-        import pyarrow as pa
-
-        speller = Speller(known)
-        for b in batches:
-            out = []
-            for side, ident, smiles, name, symbol, kind, groups in zip(*[x.to_pylist() for x in b.columns]):
-                key, n, cut = read_structure(smiles)
-                w, sure = speller.name(name)
-                kind = (kind or "").strip().lower()
-                out.append((side, ident, key, groups if n is None else n, cut, smiles if key else None, w, sure, symbol_core(symbol), kind if kind not in ("", "undefined") else None))
-            cols = list(zip(*out)) if out else [()] * 10
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], [x.split()[0] for x in FEATURES.split(", ")])
-
-    return spread(rows).mapInArrow(read, FEATURES)
+    structures = per_distinct(rows, "smiles", "key string, n int, cut string", read_structure)
+    names = read_names(rows.where("name IS NOT NULL").groupBy("name").agg(F.count("*").alias("n")))
+    symbols = F.regexp_replace(F.trim("symbol"), r"(_\d+|-\d+|\(\d+\))$", "")
+    symbol = F.when(~F.trim("symbol").rlike(GENERIC.pattern), F.nullif(F.regexp_replace(F.lower(symbols), "^nme-?", "me"), F.lit("")))
+    kind = F.lower(F.trim("kind"))
+    for column, table in (("smiles", structures), ("name", names)):  # a null text meets nothing, and not in one task
+        lone = F.concat(F.lit("\0"), F.col("side"), F.col("id").cast("string"))
+        rows = rows.withColumn("at", F.coalesce(column, lone)).join(table.withColumnRenamed(column, "at"), "at", "left").drop("at")
+    return rows.select(
+        "side", "id", "key", F.coalesce("n", "groups").alias("n_groups"), "cut", F.when(F.col("key").isNotNull(), F.col("smiles")).alias("written"),
+        "words", F.when(F.col("sure"), F.array_join("words", " ")).alias("name"), symbol.alias("symbol"), F.when(~kind.isin("", "undefined"), kind).alias("kind"),
+    )
 
 
 def entities(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, entities): records of one table that are the same by structure or by full name are one entity.
+    """(members, entities): records of one table that are the same by structure or by full name are one entity of that
+    table, so that repeated records do not compete for one partner.
 
     A rightly spelt name stands for the one structure that rows with this name have, in either table. Records that say
-    neither are entities of their own. So repeated records do not compete for one partner.
+    neither are one entity if they say the same in all else. An entity of one table is never one of the other: whether
+    two are the same is left to the messages.
     """
-    name = F.when(F.col("sure"), F.array_join("words", " "))
-    rows = rows.withColumn("name", name)
-    spelt = rows.where("key IS NOT NULL AND name IS NOT NULL").groupBy("name").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a = b").select("name", F.col("a").alias("named"))
-    rows = rows.join(spelt, "name", "left")
-    ident = F.coalesce(F.concat(F.lit("S"), "key"), F.concat(F.lit("S"), "named"), F.concat(F.lit("N"), "name"), F.concat(F.lit("R"), F.col("id").cast("string")))
-    rows = written(rows.withColumn("entity", F.md5(ident)), "members")
+    rows = written(rows, "records")
+    spelt = rows.where("key IS NOT NULL AND name IS NOT NULL").groupBy("name").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a = b").select(F.col("name").alias("at"), F.col("a").alias("named"))
+    rows = rows.withColumn("at", F.coalesce("name", F.concat(F.lit("\0"), "side", F.col("id").cast("string")))).join(spelt, "at", "left").drop("at")
+    other = F.to_json(F.struct("cut", "words", "symbol", "kind", "n_groups"))
+    says = F.coalesce("cut", F.array_join("words", " "), "symbol").isNotNull()
+    ident = F.coalesce(F.concat(F.lit("S"), F.coalesce("key", "named")), F.concat(F.lit("N"), "name"), F.when(says, F.concat(F.lit("O"), other)), F.concat(F.lit("R"), F.col("id").cast("string")))
+    rows = written(rows.withColumn("entity", F.md5(F.concat("side", ident))), "members")
     first = lambda c: F.min(c).alias(c)
-    found = rows.groupBy("side", "entity").agg(*[first(c) for c in ("key", "n_groups", "cut", "written", "name", "words", "symbol", "kind")])
-    return rows.select("side", "id", "entity"), written(found, "entities")
+    found = rows.groupBy("side", "entity").agg(*[first(c) for c in ("key", "n_groups", "cut", "written", "words", "symbol", "kind")], F.max("name").isNotNull().alias("named"))
+    return rows, written(found, "entities")
 
 
-def candidates(found: DataFrame) -> DataFrame:
-    """(a, b): pairs of entities that share a structure, a full name, or, where one of them lacks a structure, a symbol
-    or the first or last words of the name."""
-    poor = F.col("key").isNull()
+def candidates(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b, one_name): pairs of entities with one structure; where one of them lacks a structure, also those that share a
+    full name, a symbol, or the first or last five words of the name."""
+    poor = found.select("side", "entity", F.col("key").isNull().alias("poor"))
     words = F.col("words")
-    whole = F.concat(F.lit("e:"), "entity")
-    part = [F.concat(F.lit("y:"), "symbol"), F.concat(F.lit("f:"), F.array_join(F.slice(words, 1, 5), " ")), F.when(F.size(words) >= 5, F.concat(F.lit("l:"), F.array_join(F.slice(words, -5, 5), " ")))]
-    keys = found.select("side", "entity", poor.alias("poor"), F.explode(F.array_compact(F.array(whole, F.concat(F.lit("n:"), "name"), *part))).alias("block"))
+    blocks = [F.concat(F.lit("n:"), "name"), F.concat(F.lit("y:"), "symbol"), F.concat(F.lit("f:"), F.array_join(F.slice(words, 1, 5), " ")), F.when(F.size(words) >= 5, F.concat(F.lit("l:"), F.array_join(F.slice(words, -5, 5), " ")))]
+    keys = members.select("side", "entity", F.explode(F.array_compact(F.array(*blocks))).alias("block")).distinct().join(poor, ["side", "entity"])
     a, b = (keys.where(F.col("side") == s).select("block", F.col("entity").alias(s), F.col("poor").alias(f"poor_{s}")) for s in "ab")
-    sure = F.col("block").startswith("e:") | F.col("block").startswith("n:")
-    # Only pairs with a poor side are looked for under partial keys, so a common symbol costs poor times rest.
-    full = a.where(sure).join(b.where(sure), "block")
-    loose = a.where(~sure & F.col("poor_a")).join(b.where(~sure), "block").unionByName(a.where(~sure & ~F.col("poor_a")).join(b.where(~sure & F.col("poor_b")), "block"))
-    return full.unionByName(loose).select("a", "b").distinct()
+    # Only pairs with a poor side are looked for, so a common symbol costs poor times rest.
+    loose = a.where("poor_a").join(b, "block").unionByName(a.where("NOT poor_a").join(b.where("poor_b"), "block"))
+    loose = loose.groupBy("a", "b").agg(F.max(F.col("block").startswith("n:")).alias("one_name"))
+    of = lambda s: found.where((F.col("side") == s) & F.col("key").isNotNull()).select("key", F.col("entity").alias(s))
+    return loose.unionByName(of("a").join(of("b"), "key").select("a", "b", F.lit(False).alias("one_name")))
 
 
 def odds(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """(a, b, theta): what the attributes say of each pair, as log-odds."""
+    """(a, b, theta): what the attributes say of each pair, as log-odds. Equal structures outweigh all else."""
     for s in "ab":
-        pairs = pairs.join(found.where(F.col("side") == s).select(F.col("entity").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n_groups", "cut", "written", "name", "words", "symbol", "kind")]), s)
+        pairs = pairs.join(found.where(F.col("side") == s).select(F.col("entity").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n_groups", "cut", "written", "named", "words", "symbol", "kind")]), s)
     share = F.udf(lambda ca, wa, cb, wb: contained(ca, wb) if ca else contained(cb, wa), "double", useArrow=True)
     both = lambda c: F.col(f"{c}_a").isNotNull() & F.col(f"{c}_b").isNotNull()
     same = lambda c, w: F.when(both(c), F.when(F.col(f"{c}_a") == F.col(f"{c}_b"), w[0]).otherwise(w[1])).otherwise(0.0)
     aligned = F.size(F.filter(F.zip_with("words_a", "words_b", lambda x, y: ~x.eqNullSafe(y)), lambda d: d))
-    near = F.when(both("words") & (F.size("words_a") == F.size("words_b")) & (aligned <= 1), NEAR_NAME).when(both("words"), -8.0).otherwise(0.0)
+    near = F.when(both("words") & (F.size("words_a") == F.size("words_b")) & (aligned <= 1), NEAR_NAME[0]).when(both("words"), NEAR_NAME[1]).otherwise(0.0)
+    name = F.when(F.col("one_name"), NAME[0]).when(F.col("named_a") & F.col("named_b"), NAME[1]).otherwise(near)
     inside = F.when(F.col("c") >= CONTAINED[0][0], CONTAINED[0][1]).when(F.col("c") >= CONTAINED[1][0], CONTAINED[1][1]).when(F.col("c").isNotNull(), CONTAINED[2][1]).otherwise(0.0)
     got = pairs.withColumn("c", F.when(~both("key"), share("cut_a", "written_a", "cut_b", "written_b")))
-    theta = F.lit(PRIOR) + same("key", STRUCTURE) + F.when(both("name"), same("name", NAME)).otherwise(near) + same("symbol", SYMBOL) + same("n_groups", GROUPS) + same("kind", KIND) + inside + F.when(F.col("a") == F.col("b"), NAME[0]).otherwise(0.0)
+    inside = F.when(F.col("one_name"), F.greatest(inside, F.lit(0.0))).otherwise(inside)  # a full name outweighs another way to write a cut text
+    poor = name + same("symbol", SYMBOL) + same("n_groups", GROUPS) + same("kind", KIND) + inside
+    theta = F.lit(PRIOR) + F.when(both("key"), STRUCTURE).otherwise(poor)
     return got.select("a", "b", F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), theta)).alias("theta"))
 
 
-def marginals(pairs: DataFrame, tolerance: float = TOLERANCE, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def marginals(pairs: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(a, b, confidence) from (a, b, theta).
 
     The factor of an entity sends to each of its pairs -log(1 + sum over its other pairs of exp(theta + the message from
     the other end)). Sums are made per entity by aggregation, so an entity with very many pairs is no single task's
-    burden, and joined back to its pairs; rounds go on until no message moves by more than ``tolerance``, and it is an error
-    if ``max_rounds`` do not bring that about.
+    burden, and joined back to its pairs. A pair both of whose ends have no other has nothing to be told, so its messages
+    are 0 from the start; all others go round until no message moves by more than ``tolerance``, however many rounds that
+    takes: after FULL_ROUNDS messages move only part of the way, less with each round.
     """
-    state = keep(pairs.select("a", "b", "theta", F.lit(0.0).alias("from_a"), F.lit(0.0).alias("from_b")), "messages")
-    for _ in range(max_rounds):
-        now = state.df
+    count = lambda s: pairs.groupBy(s).agg(F.count("*").alias(f"n_{s}"))
+    named = written(pairs.join(count("a"), "a").join(count("b"), "b").select("a", "b", "theta", (F.greatest("n_a", "n_b") == 1).alias("alone")), "pairs")
+    state = keep(named.where("NOT alone").select("a", "b", "theta", F.lit(0.0).alias("from_a"), F.lit(0.0).alias("from_b")), "messages")
+    round_no = 0
+    while True:
+        round_no += 1
+        step, now = F.lit(min(1.0, FULL_ROUNDS / round_no)), state.df
         for s, out, got in (("a", "from_a", "from_b"), ("b", "from_b", "from_a")):
             now = now.withColumn("x", F.exp(F.least(F.lit(LIMIT), F.col("theta") + F.col(got))))
             total = now.groupBy(s).agg(F.sum("x").alias("total"))
             rest = F.greatest(F.col("total") - F.col("x"), F.lit(0.0))
-            now = now.join(total, s).withColumn(f"new_{s}", -F.log1p(rest))
+            now = now.join(total, s).withColumn(f"new_{s}", F.col(out) + step * (-F.log1p(rest) - F.col(out)))
             now = now.withColumn(f"moved_{s}", F.abs(F.col(f"new_{s}") - F.col(out))).withColumn(out, F.col(f"new_{s}")).drop("x", "total", f"new_{s}")
         after = keep(now.select("a", "b", "theta", "from_a", "from_b", F.greatest("moved_a", "moved_b").alias("moved")), "messages")
         moved = after.df.agg(F.max("moved")).first()[0] or 0.0
@@ -220,19 +214,18 @@ def marginals(pairs: DataFrame, tolerance: float = TOLERANCE, max_rounds: int =
         state = after
         if moved <= tolerance:
             break
-    else:
-        raise RuntimeError(f"messages still move by {moved:.3g} after {max_rounds} rounds")
-    return state.df.select("a", "b", (1 / (1 + F.exp(-(F.col("theta") + F.col("from_a") + F.col("from_b"))))).alias("confidence"))
+    told = state.df.select("a", "b", (F.col("theta") + F.col("from_a") + F.col("from_b")).alias("belief"))
+    return told.unionByName(named.where("alone").select("a", "b", F.col("theta").alias("belief"))).select("a", "b", (1 / (1 + F.exp(-F.col("belief")))).alias("confidence"))
 
 
 def match(a: DataFrame, a_columns: dict[str, str], b: DataFrame, b_columns: dict[str, str]) -> DataFrame:
     """(id_a, id_b, confidence) of all pairs of records that may be the same thing.
 
     Null, empty and broken attributes count as missing, never as unequal. Records that are repeated in a table match
-    alike. Structures of more than MAX_ATOMS atoms count as missing. Empty tables give no pairs.
+    alike. Empty tables give no pairs.
     """
     members, found = entities(features([("a", a, a_columns), ("b", b, b_columns)]))
-    scored = marginals(odds(candidates(found), found))
+    scored = marginals(odds(candidates(members, found), found))
     side = lambda s: members.where(F.col("side") == s).select(F.col("entity").alias(s), F.col("id").alias(f"id_{s}"))
     return scored.join(side("a"), "a").join(side("b"), "b").select("id_a", "id_b", "confidence")
 

@@ -1,20 +1,30 @@
 import pandas as pd
-import pytest
 
 from strandloom.functions.molgraph import canonical_smiles
 from strandloom.llm import monomer_match as m
 
 
-def test_speller():
-    s = m.Speller(["oxa", "aza", "thienyl", "methylidene", "phenylene", "l", "alanine", "chloro", "r3"])
-    assert s.name("L-oax-chlorop-henylene-thienyll-alanine R3") == (["l", "oxa", "chloro", "phenylene", "thienyl", "alanine", "r3"], True)
-    assert s.name("L-axa-oxa-alanine")[1] is False  # as near to oxa as to aza
-    assert s.name("compound") == (None, False) and s.name(None) == (None, False)
-    assert s.word("oxachloro") == (("oxa", "chloro"), True)
+def test_spelling(spark):
+    counts = {"oxa": 400, "aza": 300, "thienyl": 500, "methylidene": 300, "methyl": 350, "dimethyl": 500, "l": 900, "alanine": 900, "chloro": 300, "r3": 200, "oax": 3, "thienyll": 4, "axa": 2, "imethyl": 5, "nm": 4, "n": 600, "oxachloro": 2, "chlroo": 1, "rare": 3, "once": 1}
+    got = {r.w: list(r.right) for r in m.spelling(spark.createDataFrame(list(counts.items()), "w string, n long")).collect()}
+    want = {w: [w] for w in ("oxa", "aza", "thienyl", "methylidene", "methyl", "dimethyl", "l", "alanine", "chloro", "r3", "rare", "n")}
+    want |= {"oax": ["oxa"], "thienyll": ["thienyl"], "chlroo": ["chloro"], "oxachloro": ["oxa", "chloro"]}
+    assert got == want  # axa is as near to oxa as to aza, imethyl to methyl as to dimethyl
 
 
-def test_symbols():
-    assert [m.symbol_core(x) for x in ("dYnSu_7", "NMe-DfThDf", "CpPhCa(3)", "Mono99", "X560", None, " ", "YnClOx-92527")] == ["dynsu", "medfthdf", "cpphca", None, None, None, None, "ynclox"]
+def test_spelling_does_not_depend_on_the_table_size(spark):
+    """Many rows with other words change nothing: a word is judged by its rivals, not by its share."""
+    few = [("phenylene", 40), ("phenylenee", 2)]
+    more = few + [(f"{a}{b}{a}{b}{a}", 1000) for a in "bcdfg" for b in "hjkl"]
+    for words in (few, more):
+        got = {r.w: list(r.right) for r in m.spelling(spark.createDataFrame(words, "w string, n long")).collect()}
+        assert got["phenylene"] == got["phenylenee"] == ["phenylene"]
+
+
+def test_names(spark):
+    rows = [("L-oxa-chloro-alanine", 30), ("L oxa chlroo alanine", 1), ("compound", 5), ("L-zzz-oxa-alanine", 1), ("", 1)]
+    got = {r.name: (list(r.words), r.sure) for r in m.read_names(spark.createDataFrame(rows, "name string, n long")).collect()}
+    assert got == {"L-oxa-chloro-alanine": (["l", "oxa", "chloro", "alanine"], True), "L oxa chlroo alanine": (["l", "oxa", "chloro", "alanine"], True), "L-zzz-oxa-alanine": (["l", "zzz", "oxa", "alanine"], False)}
 
 
 def test_structures_of_equal_monomers_meet(spark, small):
@@ -88,10 +98,34 @@ def test_empty(spark):
     assert got.count() == 0
 
 
-def test_unfinished_messages_are_an_error(spark):
-    from strandloom.llm import monomer_match
+def test_symbols(spark):
+    symbols = ("dYnSu_7", "NMe-DfThDf", "CpPhCa(3)", "Mono99", "X560", None, " ", "YnClOx-92527")
+    a = spark.createDataFrame([(i, x, None, None, None, None, None, None) for i, x in enumerate(symbols)], A)
+    got = m.features([("a", a, m.CYCPEPT)]).orderBy("id").collect()
+    assert [r.symbol for r in got] == ["dynsu", "medfthdf", "cpphca", None, None, None, None, "ynclox"]
+
+
+def test_messages_decide(spark):
+    """Taken alone, three of the four pairs are likelier than not; one-to-one, the strong pairs push the others out."""
+    theta = {("x", "1"): 5.0, ("x", "2"): 2.0, ("y", "1"): 2.5, ("y", "3"): 0.2}
+    got = {(r.a, r.b): r.confidence for r in m.marginals(spark.createDataFrame([(*k, v) for k, v in theta.items()], "a string, b string, theta double")).collect()}
+    assert {p for p, c in got.items() if c > 0.5} == {("x", "1")} and got["y", "3"] > got["y", "1"]
+    for p, want in brute_marginals(theta).items():
+        assert abs(got[p] - want) < 1e-3
+
+
+def test_one_to_one_between_records(spark, monkeypatch):
+    """A row with a symbol and a cut structure fits two rows; one of them has its partner, so it gets the other. Without
+    the messages the table would not tell."""
+    whole = "[*:1]N[C@@H](CC(C)(C)CSCC(F)(F)C)C(=O)[*:2]"
+    a = [(1, "dAbCd", None, None, whole, "Backbone", 2, None), (2, "dAbCd", None, None, "[*:1]N[C@@H](CC(C)(C)CSCC(F", "Backbone", 2, None)]
+    b = [(11, "dAbCd", None, None, whole, "Backbone", 2, None), (12, "dAbCd", None, None, "[*:1]N[C@@H](CC(C)(C)CSCC(F)(F)CC)C(=O)[*:2]", "Backbone", 2, None)]
+    rows = lambda: m.match(spark.createDataFrame(a, A), m.CYCPEPT, spark.createDataFrame(b, B), m.CHEMBL).where("confidence > 0.5").collect()
+    assert sorted((r.id_a, r.id_b) for r in rows()) == [(1, 11), (2, 12)]
+    monkeypatch.setattr(m, "marginals", lambda pairs: pairs.selectExpr("a", "b", "1 / (1 + exp(-theta)) AS confidence"))
+    assert sorted((r.id_a, r.id_b) for r in rows()) == [(1, 11), (2, 11), (2, 12)]
+
 
-    pairs = spark.createDataFrame([("a", "x", 2.0), ("a", "y", 1.5), ("b", "x", 1.0)], "a string, b string, theta double")
-    with pytest.raises(RuntimeError):
-        monomer_match.marginals(pairs, max_rounds=1)
-    assert monomer_match.marginals(pairs).count() == 3
+def test_messages_settle_without_a_bound(spark):
+    pairs = spark.createDataFrame([("a", "x", 2.0), ("a", "y", 1.5), ("b", "x", 1.0), ("b", "y", 1.9), ("c", "y", 19.0), ("c", "x", 18.0)], "a string, b string, theta double")
+    assert m.marginals(pairs).count() == 6

@@ -7,6 +7,7 @@ window, the rightmost of equals, then a step back by the overlap.
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -101,18 +102,57 @@ def cuts(strength: np.ndarray, fits, limit: int, overlap: int) -> list[tuple[int
         start = back if strength[back] > IN_CHARACTER else end
 
 
+def range_counter(starts: list[int], blank: list[bool], encoded, is_blank):
+    """count(a, b): tokens of the text of a range of tokens, encoded alone.
+
+    ``starts`` are the tokens at which the text's pieces begin, and the end; ``blank`` tells pieces of white space only;
+    ``encoded(a, b)`` encodes the text of a range, ``is_blank(a, b)`` whether it is white space. Whole pieces keep their
+    tokens wherever the text around them is cut, except that white space at a cut is taken together. So only what a
+    cut touches is encoded again: a cut piece at the front with what follows up to a piece that is not blank (it may
+    join that), a cut piece or blank ones at the back.
+    """
+    memo: dict[tuple[int, int], int] = {}
+
+    def find(a: int, b: int) -> int:
+        i, j = bisect_right(starts, a) - 1, bisect_left(starts, b) - 1  # the pieces of the first and the last token
+        head, tail = i, j + 1  # pieces from head to before tail keep their tokens
+        if starts[i] != a:
+            head = i + 2
+            while head <= j and blank[head - 1]:
+                head += 1
+        if starts[j + 1] != b or blank[j]:
+            tail = j
+            while tail > head and blank[tail - 1] and is_blank(starts[j], b):
+                tail -= 1
+        if head >= tail:
+            return encoded(a, b)
+        n = starts[tail] - starts[head]
+        return n + (encoded(a, starts[head]) if starts[head] != a else 0) + (encoded(starts[tail], b) if starts[tail] != b else 0)
+
+    def count(a: int, b: int) -> int:
+        if (a, b) not in memo:
+            memo[a, b] = find(a, b)
+        return memo[a, b]
+
+    return count
+
+
 def pieces_of(text: str | None, e: Encoder, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, str]]:
     """(start_token, end_token, tokens of the piece encoded alone, its text); nothing for a text within the limit."""
+    raw = (text or "").encode("utf-8")
+    if len(raw) <= limit:  # a token has a byte or more
+        return []
     parts = list(e.pieces(text))
     ids = [i for _, p in parts for i in p]
     if len(ids) <= limit:
         return []
-    raw = text.encode("utf-8")
     size = [e.length[i] for i in ids]
-    ends = np.cumsum([0, *size])
+    ends = np.cumsum([0, *size]).tolist()
     own = lambda a, b: raw[ends[a] : ends[b]].decode("utf-8")
-    found = cuts(strengths([(p, len(i)) for p, i in parts], size, raw), lambda a, b: max(0, len(e.encode(own(a, b))) - limit), limit, overlap)
-    return [(a, b, len(e.encode(own(a, b))), own(a, b)) for a, b in found]
+    starts = np.cumsum([0, *[len(p) for _, p in parts]]).tolist()
+    count = range_counter(starts, [p.isspace() for p, _ in parts], lambda a, b: len(e.encode(own(a, b))), lambda a, b: own(a, b).isspace())
+    found = cuts(strengths([(p, len(i)) for p, i in parts], size, raw), lambda a, b: max(0, count(a, b) - limit), limit, overlap)
+    return [(a, b, count(a, b), own(a, b)) for a, b in found]
 
 
 def split_oversized(texts: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, vocabulary: str = VOCABULARY, folder: str = TOKENIZERS) -> DataFrame:

@@ -12,12 +12,15 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..shared import keep, written
+from ..shared import keep
 from .token_ids import token_counts
 
 CAPACITY = 2048
-#: Texts a container may hold, and tokens in it that bear loss.
-MAX_SEGMENTS, MAX_LOSS = 256, 2048
+#: Texts a container may hold, and tokens in it that bear loss (15 of 16).
+MAX_SEGMENTS, MAX_LOSS = 256, 1920
+#: Tokens of the pieces that a text larger than a container is cut into: half a container, so that pieces that bear loss
+#: throughout can be put together with texts that have a prompt.
+PIECE = 1024
 #: Items packed by one task: what one core packs in seconds.
 BUCKET_ITEMS = 20_000
 #: Containers filled less than this are opened again and packed once more with those of other tasks.
@@ -62,25 +65,31 @@ def pack(demand: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return container, position
 
 
-def cut_to_size(sizes: DataFrame, key: str, capacity: int) -> DataFrame:
-    """One row per item, or per piece of ``capacity`` tokens (the last one shorter) of a larger item."""
-    sizes = sizes.withColumn("n_tokens", F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)))  # nothing known is no tokens
-    last = F.greatest(F.ceil(F.col("n_tokens") / capacity) - 1, F.lit(0))
-    return sizes.select(key, "n_tokens", F.explode(F.sequence(F.lit(0), last)).alias("piece_no")).select(
-        key, F.col("piece_no").cast("int").alias("piece_no"), (F.col("piece_no") * capacity).cast("long").alias("start_token"), F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece_no") * capacity).cast("long").alias("n_tokens")
-    )
-
-
-def containers(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, bucket_items: int = BUCKET_ITEMS) -> DataFrame:
-    """(key, piece_no, start_token, n_tokens, container_id, position) for each item or piece.
-
-    ``sizes`` is (key, n_tokens). An item is cut only if it is larger than a container. The loss-bearing tokens of a
-    piece are all but its first. Items without tokens take a segment, but no tokens. Items are dealt evenly to as many
-    tasks as their number asks for, each of which packs at most about ``bucket_items``; what is left loosely filled
-    is gathered and packed again by fewer tasks, until one is enough. Nothing depends on any one key's share.
+def cut_to_size(sizes: DataFrame, key: str, capacity: int, piece: int) -> DataFrame:
+    """(key, piece_no, start_token, n_tokens, loss): one row per item, or per piece of ``piece`` tokens (the last one shorter)
+    of an item larger than ``capacity``. Loss-bearing are the tokens after the first ``n_prompt``, and never the first
+    one; nothing known is no tokens."""
+    known = lambda c: F.greatest(F.coalesce(F.col(c).cast("long"), F.lit(0)), F.lit(0)) if c in sizes.columns else F.lit(0)
+    sizes = sizes.select(key, known("n_tokens").alias("n_tokens"), F.greatest(known("n_prompt"), F.lit(1)).alias("n_prompt"))
+    width = F.when(F.col("n_tokens") > capacity, piece).otherwise(capacity)
+    last = F.greatest(F.ceil(F.col("n_tokens") / width) - 1, F.lit(0))
+    start, n = F.col("piece_no") * width, F.least(width, F.col("n_tokens") - F.col("piece_no") * width)
+    loss = F.greatest(start + n - F.greatest(start, "n_prompt"), F.lit(0))
+    return sizes.withColumn("piece_no", F.explode(F.sequence(F.lit(0), last))).select(key, F.col("piece_no").cast("int").alias("piece_no"), start.cast("long").alias("start_token"), n.cast("long").alias("n_tokens"), loss.cast("long").alias("loss"))
+
+
+def containers(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, bucket_items: int = BUCKET_ITEMS, piece: int | None = None) -> DataFrame:
+    """(key, piece_no, start_token, n_tokens, loss, container_id, position) for each item or piece.
+
+    ``sizes`` is (key, n_tokens) and, if there are prompts, n_prompt. An item is cut only if it has more tokens than a
+    container, into pieces of ``piece`` tokens (None: a container's); one that is over another limit by itself has a
+    container of its own. ``max_loss`` None bounds loss-bearing tokens by the container only. Items without tokens take a segment,
+    but no tokens. Items are dealt evenly to as many tasks as their number asks for, each of which packs about
+    ``bucket_items``; what is left loosely filled is gathered and packed again by fewer tasks, until one is enough or
+    packing again does not halve it. Nothing depends on any one key's share.
     """
-    items = cut_to_size(sizes, key, capacity).withColumn("loss", F.greatest(F.col("n_tokens") - 1, F.lit(0)))
-    items = written(items.withColumn("ordinal", F.monotonically_increasing_id()), "items")
+    max_loss = capacity if max_loss is None else max_loss
+    items = keep(cut_to_size(sizes, key, capacity, min(piece or capacity, capacity)).withColumn("ordinal", F.monotonically_increasing_id()), "items").df
     kind = items.schema[key].dataType.simpleString()
     limits = np.array([capacity, max_segments, max_loss], float)
 
@@ -93,7 +102,8 @@ def containers(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY,
         segments = np.bincount(c)
         pdf = pdf.iloc[order].copy()
         pdf["container_id"], pdf["position"] = c, p.astype("int32")
-        pdf["loose"] = (fill[c] < REPACK_BELOW * capacity) & (segments[c] < max_segments)
+        loss = np.bincount(c, weights=demand[order][:, 2])
+        pdf["loose"] = (fill[c] < REPACK_BELOW * capacity) & (segments[c] < max_segments) & (loss[c] < REPACK_BELOW * max_loss)
         pdf["bucket"] = bucket
         return pdf
 
@@ -117,17 +127,22 @@ def containers(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY,
     for d in done[1:]:
         out = out.unionByName(d)
     ident = F.col("round").cast("long") * F.lit(2**56) + F.col("bucket").cast("long") * F.lit(2**32) + F.col("container_id")
-    return out.select(key, "piece_no", "start_token", "n_tokens", ident.alias("container_id"), "position")
+    return out.select(key, "piece_no", "start_token", "n_tokens", "loss", ident.alias("container_id"), "position")
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as instruction data: the first paragraph of several is the prompt, all after it bears loss."""
+    return containers(token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet")), max_loss=MAX_LOSS, piece=PIECE)
 
 
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return containers(token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return _packed(spark, sf_dir).drop("loss")
 
 
 def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How full the containers are, as one row."""
-    each = p9_containers(spark, sf_dir).groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("segments"))
-    return each.agg(F.count("*").alias("n_containers"), F.sum("used").alias("n_tokens"), F.round(F.sum("used") / (F.count("*") * CAPACITY), 6).alias("fill"), F.max("used").alias("most_tokens"), F.max("segments").alias("most_segments"))
+    each = _packed(spark, sf_dir).groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("segments"), F.sum("loss").alias("loss"))
+    return each.agg(F.count("*").alias("n_containers"), F.sum("used").alias("n_tokens"), F.round(F.sum("used") / (F.count("*") * CAPACITY), 6).alias("fill"), F.max("used").alias("most_tokens"), F.max("segments").alias("most_segments"), F.max(F.when(F.col("segments") > 1, F.col("loss"))).alias("most_loss"), F.count_if(F.col("loss") > MAX_LOSS).alias("n_alone_over_loss"))
 
 
 QUERIES = {"p9_containers": p9_containers, "p9_fill": p9_fill}

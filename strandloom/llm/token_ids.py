@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shared import spread
@@ -41,8 +43,19 @@ def token_ids(texts: DataFrame, key: str = "doc_id", text: str = "text", vocabul
     return spread(texts.select(key, text)).mapInArrow(encode, f"`{key}` {kind}, ids array<int>")
 
 
+#: What ends the prompt of a text: its first blank line.
+_BLANK_LINE = re.compile(r"\n\s*\n")
+
+
+def prompt_of(text: str) -> str:
+    """The first paragraph of a text of several, with the blank line; empty if there is no other paragraph."""
+    end = _BLANK_LINE.search(text)
+    return text[: end.end()] if end and text[end.end() :].strip() else ""
+
+
 def token_counts(texts: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, folder: str = TOKENIZERS) -> DataFrame:
-    """(key, n_tokens) of each row; the ids themselves never leave the worker."""
+    """(key, n_tokens, n_prompt) of each row: the tokens of the text, and those of its prompt, which bear no loss. The ids
+    themselves never leave the worker."""
     kind = texts.schema[key].dataType.simpleString()
 
     def count(batches):
@@ -50,10 +63,14 @@ def token_counts(texts: DataFrame, key: str = "doc_id", text: str = "text", voca
 
         e = encoder(vocabulary, folder)
         for batch in batches:
-            n = pa.array([len(e.encode(t.as_py())) for t in batch.column(text)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(key), n], [key, "n_tokens"])
-
-    return spread(texts.select(key, text)).mapInArrow(count, f"`{key}` {kind}, n_tokens long")
+            n, prompt = [], []
+            for t in batch.column(text):
+                t = t.as_py() or ""
+                n.append(len(e.encode(t)))
+                prompt.append(min(len(e.encode(prompt_of(t))), n[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(n, pa.int64()), pa.array(prompt, pa.int64())], [key, "n_tokens", "n_prompt"])
+
+    return spread(texts.select(key, text)).mapInArrow(count, f"`{key}` {kind}, n_tokens long, n_prompt long")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

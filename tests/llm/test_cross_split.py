@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pandas as pd
+import pytest
 
 from strandloom.llm import cross_split as c
 
@@ -134,3 +136,26 @@ def test_slabs_do_not_change_the_pairs(monkeypatch):
     whole = [x.tolist() for x in c.close_pairs(texts, texts)]
     monkeypatch.setattr(c, "SLAB", 7)
     assert [x.tolist() for x in c.close_pairs(texts, texts)] == whole
+
+
+@pytest.mark.parametrize("n", [20, 25, 39, 40, 60, 100, 300])
+@pytest.mark.parametrize("spread", ["even", "random", "together"])
+def test_bands_find_sequences_at_the_limit(n, spread):
+    """As many changes as the definition allows, in every pattern: a common bucket in all but a hundredth of the trials."""
+    r, letters = np.random.default_rng(n), np.array(list("ACDEFGHIKLMNPQRSTVWY"))
+    edits, found, trials = int(n * c.EDITS + 1e-9), 0, 60
+    for _ in range(trials):
+        a = r.choice(letters, n)
+        at = {"even": (np.arange(edits) + 0.5) * n / edits, "random": r.choice(n, edits, replace=False), "together": np.arange(edits) + n // 2}[spread].astype(int)
+        b = a.copy()
+        for i in at:
+            b[i] = r.choice(letters[letters != a[i]])
+        found += bool((c.bands("".join(a), *c.SEQUENCE_LSH) == c.bands("".join(b), *c.SEQUENCE_LSH)).any())
+    assert found >= 0.99 * trials
+
+
+def test_sequences_meet_across_splits_only(spark):
+    one, two = "ACDEFGHIKL" * 4, "ACDEFGHIKL" * 3 + "ACDEFGHIKM"
+    rows = [("a", one, True, False), ("b", two, True, False), ("c", one[:-1] + "V", False, True)]
+    got = c.near_sequences(spark.createDataFrame(rows, "q string, sequence string, in_train boolean, in_eval boolean")).collect()
+    assert sorted(map(tuple, got)) == [("a", "c"), ("b", "c")]

@@ -4,7 +4,7 @@ import os
 import numpy as np
 import pandas as pd
 import pytest
-from hypothesis import given, settings, strategies as st
+from hypothesis import given, settings, strategies as st  # noqa: I001
 
 from strandloom.llm import boundary_cuts as c, bpe, packing as p, token_ids as t
 
@@ -69,6 +69,38 @@ def test_containers_of_unknown_sizes(spark):
     assert sorted(r.n_tokens for r in got.collect()) == [0, 5, 5, 5] and got.select("container_id").distinct().count() == 1
 
 
+def test_loss_limits_the_containers(spark):
+    """Texts without a prompt fill containers up to the loss limit only; those with one fill them up. A limit that does not
+    bind gives other containers."""
+    rows = [(i, 512, 0 if i % 2 else 200) for i in range(400)]
+    packed = lambda rows, **limits: p.containers(spark.createDataFrame(rows, "doc_id long, n_tokens long, n_prompt long"), **({"max_loss": p.MAX_LOSS, "piece": p.PIECE} | limits)).toPandas()
+    got = packed(rows)
+    assert got.groupby("container_id").loss.sum().max() <= p.MAX_LOSS and got.groupby("container_id").n_tokens.sum().max() <= 2048
+    free = packed(rows, max_loss=None)
+    assert free.groupby("container_id").loss.sum().max() > p.MAX_LOSS
+    assert got.container_id.nunique() <= 1.05 * free.container_id.nunique()
+    big = packed([(1, 5000, 100), (2, 2000, 0), (3, 30, 0)])
+    assert big[big.doc_id == 1].n_tokens.tolist() == [1024] * 4 + [904] and big[big.doc_id == 1].loss.tolist() == [924] + [1024] * 3 + [904]
+    alone = big[big.doc_id == 2].container_id.iloc[0]
+    assert (big.container_id == alone).sum() == 1  # over the loss limit by itself, and still whole
+
+
+def test_more_items_than_one_task_packs(spark):
+    """The same fill on either side of the number of items a task takes."""
+    r = np.random.default_rng(5)
+    fill = []
+    for n in (8_000, 24_000):
+        items = [(i, int(x), int(x) // 3) for i, x in enumerate(np.minimum(r.geometric(1 / 300, n), 2048))]
+        got = p.containers(spark.createDataFrame(items, "doc_id long, n_tokens long, n_prompt long"), bucket_items=10_000).toPandas()
+        assert len(got) == n and got.doc_id.nunique() == n and got.groupby("container_id").n_tokens.sum().max() <= 2048
+        fill.append(got.n_tokens.sum() / (got.container_id.nunique() * 2048))
+    assert min(fill) > 0.98 and abs(fill[0] - fill[1]) < 0.01
+
+
+def test_prompts():
+    assert t.prompt_of("a\n\nb") == "a\n\n" and t.prompt_of("a\n \n ") == t.prompt_of("a\nb") == t.prompt_of("") == ""
+
+
 def test_containers_of_nothing(spark):
     assert p.containers(spark.createDataFrame([], "doc_id long, n_tokens long")).count() == 0
 
@@ -101,6 +133,22 @@ def test_pieces(text):
     assert joined.startswith(got[0][3].encode()) and joined.endswith(got[-1][3].encode()) and all(g[3] in text for g in got)
 
 
+@pytest.mark.parametrize("text", ["it'sx don't 're  \n\n  ab12  cd's!!'s\t\tx " * 60, "  中文é🙂 a\u0301b " * 150, "\n \n\n" * 300 + "end", "'s'll'x" * 200, "a\n\n\n b \t\n1  c\n" * 90])
+def test_counts_of_ranges_are_those_of_their_texts(text):
+    e = bpe.encoder()
+    parts = list(e.pieces(text))
+    ids = [i for _, p in parts for i in p]
+    raw, ends = text.encode(), np.cumsum([0, *[e.length[i] for i in ids]])
+    whole = [i for i, at in enumerate(ends) if at == len(raw) or raw[at] & 0xC0 != 0x80]  # between characters
+    encoded = lambda a, b: len(e.encode(raw[ends[a] : ends[b]].decode()))
+    space = lambda a, b: raw[ends[a] : ends[b]].decode().isspace()
+    count = c.range_counter(np.cumsum([0, *[len(p) for _, p in parts]]).tolist(), [p.isspace() for p, _ in parts], encoded, space)
+    r = np.random.default_rng(3)
+    for _ in range(400):
+        a, b = sorted(r.choice(whole, 2, replace=False))
+        assert count(int(a), int(b)) == encoded(a, b)
+
+
 def test_paragraphs_before_sentences_before_words():
     e = bpe.encoder()
     for text, end in (("One two three. Four five,\n\nsix seven. " * 60, "\n"), ("One two three, four five. Six " * 80, "."), ("one two three " * 200, "e")):

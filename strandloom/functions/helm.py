@@ -16,8 +16,8 @@ BLOCK = r"PEPTIDE[0-9]+\{([^}]*)\}"
 def canonical_connection(c: Column) -> Column:
     """One connection, chain names and R in capitals, its two ends in string order."""
     g = lambda i: F.regexp_extract(c, r"^([^,]+),([^,]+),([^:,]+):([^-]+)-([^:]+):(.+)$", i)
-    a = F.concat_ws(":", g(1), F.lpad(g(3), 6, "0"), g(4))
-    b = F.concat_ws(":", g(2), F.lpad(g(5), 6, "0"), g(6))
+    a = F.concat_ws(":", g(1), g(3), g(4))
+    b = F.concat_ws(":", g(2), g(5), g(6))
     return F.when(g(1) == "", c).otherwise(F.concat_ws("-", F.least(a, b), F.greatest(a, b)))
 
 
@@ -54,8 +54,8 @@ def chain_symbols(helm) -> Column:
 
 
 def clean(helm) -> Column:
-    """Without white space, blanks of any width included."""
-    return F.regexp_replace(col(helm), r"[\s\x{00A0}\x{2009}]", "")
+    """Without white space of any kind."""
+    return squeezed(helm)
 
 
 def strip_brackets(m: Column) -> Column:

@@ -43,18 +43,19 @@ def canonicalised(df: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def structure_features(df: DataFrame, column: str) -> DataFrame:
-    """(column, canonical, n_groups, centres, mirrored, methylated): R groups, stereo centres, the mirror image, and the
-    form with a methyl on the backbone nitrogen."""
+    """(column, canonical, n_groups, centres, mirrored, methylated, mirrored_methylated): R groups, stereo centres, the mirror
+    image, the form with a methyl on the backbone nitrogen, and both at once."""
 
     def read(t):
         m = _mol(t)
         if m is None:
-            return None, None, None, None, None
+            return (None,) * 6
         text, groups, centres = g.canonical(m), len(g.group_labels(m)), ";".join(f"{i}{s}" for i, s in g.stereo_centres(m))
         me = g.n_methylated(_mol(t))
-        return text, groups, centres, g.canonical(g.mirrored(m)), g.canonical(me) if me else None
+        other = g.canonical(g.mirrored(m))
+        return text, groups, centres, other, g.canonical(me) if me else None, g.canonical(g.mirrored(me)) if me else None
 
-    return per_distinct(df, column, "canonical string, n_groups int, centres string, mirrored string, methylated string", read)
+    return per_distinct(df, column, "canonical string, n_groups int, centres string, mirrored string, methylated string, mirrored_methylated string", read)
 
 
 NO_SCAFFOLD = "__no_scaffold__"
@@ -146,3 +147,66 @@ def nearest_of(df: DataFrame, key: str, asks: Column, holds: Column, bits: str =
 def padded_vector(v: Column, size: int) -> Column:
     """Cut, or filled with zeros, to a size; null stays null."""
     return F.when(v.isNotNull(), F.slice(F.concat(v, F.array_repeat(F.lit(0.0).cast("float"), size)), 1, size))
+
+
+def medians_by_structure(df: DataFrame, smiles: str, values: list[str], order: str) -> DataFrame:
+    """A5: one row per molecule: the first row (by ``order``) of those with one canonical structure gives all other columns,
+    each value column its median (text that is no number counts as missing), ``smiles`` the canonical text. A text
+    that can't be read is its own key, and so is null; ``n_rows`` counts the rows. A table without repeated molecules comes
+    out with canonical texts and nothing else changed."""
+    texts = canonical_texts(df, smiles).select(smiles, F.coalesce("canonical", smiles).alias("_key"))
+    keyed = df.where(F.col(smiles).isNotNull()).join(texts, smiles).unionByName(df.where(F.col(smiles).isNull()).withColumn("_key", F.lit(None).cast("string")))
+    rest = [c for c in df.columns if c != smiles and c not in values]
+    first = F.min_by(F.struct(*[F.col(c) for c in rest]), F.struct(F.col(order).isNull(), F.col(order))).alias("_r")
+    got = keyed.groupBy("_key").agg(first, *[F.median(F.col(c).try_cast("double")).alias(c) for c in values], F.count("*").alias("n_rows"))
+    return got.select(F.col("_key").alias(smiles), "_r.*", *values, "n_rows")
+
+
+def merged_library(entries: DataFrame) -> DataFrame:
+    """(core, n_rgroups, monomer_type, symbol, alt_symbols, source) from (symbol, core, n_rgroups, monomer_type, source,
+    priority, entry_id).
+
+    A symbol is its first entry's, by priority and entry_id: later entries with it are left out. Entries of one structure become
+    one in the order of priority, generic names last, symbol: the first symbol leads, the others follow it, and a source is
+    added with ``+`` unless the text so far holds it. Entries without a structure are left out.
+    """
+    from .curate import first_by_key
+
+    one = first_by_key(entries.where(F.col("symbol").isNotNull() & F.col("core").isNotNull()), ["symbol"], ["priority", "entry_id"])
+    at = F.struct("priority", F.col("symbol").rlike("(?i)^(Mono|X)[0-9]+$").alias("generic"), "symbol", F.coalesce("source", F.lit("")).alias("source"))
+    got = one.groupBy("core", "n_rgroups", "monomer_type").agg(F.sort_array(F.collect_list(at)).alias("e"))  # the entries of one structure
+    joined = F.aggregate("e", F.lit(""), lambda acc, x: F.when(acc == "", x["source"]).when(F.contains(acc, x["source"]), acc).otherwise(F.concat(acc, F.lit("+"), x["source"])))
+    return got.select("core", "n_rgroups", "monomer_type", F.col("e")[0]["symbol"].alias("symbol"), F.array_join(F.transform(F.slice("e", 2, F.size("e")), lambda x: x["symbol"]), ";").alias("alt_symbols"), joined.alias("source"))
+
+
+def generated_structures(wanted: DataFrame, sources: list[tuple[str, DataFrame]], parents: DataFrame) -> DataFrame:
+    """V6: (symbol, smiles, origin) of each distinct symbol of ``wanted``: from the first of the named ``sources`` (symbol,
+    smiles) that has it, else made from its parent's structure (``parents``: symbol, smiles): turned round for ``d``,
+    methylated for ``me``, both for ``Me_d``, as it is for the parent's own name; origin ``none`` if there is no parent."""
+    got = wanted.where("symbol IS NOT NULL").select("symbol").distinct()
+    for k, (_, table) in enumerate(sources):
+        got = got.join(table.where("smiles IS NOT NULL AND symbol IS NOT NULL").groupBy("symbol").agg(F.min("smiles").alias(f"_s{k}")), "symbol", "left")
+    got = got.withColumn("parent", F.regexp_replace("symbol", "^(Me_d|me|d)(?=[A-Z])", ""))
+    one = parents.groupBy(F.col("symbol").alias("parent")).agg(F.min("smiles").alias("_p"))
+    forms = structure_features(one.withColumnRenamed("_p", "smiles"), "smiles")
+    made = one.join(forms.withColumnRenamed("smiles", "_p"), "_p").select("parent", "canonical", "mirrored", "methylated", "mirrored_methylated")
+    s = F.col("symbol")
+    form = F.when(s == F.col("parent"), F.col("canonical")).when(s.startswith("Me_d"), F.col("mirrored_methylated")).when(s.startswith("me"), F.col("methylated")).otherwise(F.col("mirrored"))
+    got = got.join(made, "parent", "left").withColumn("_made", form)
+    origin = F.when(F.col("_made").isNotNull(), "generated").otherwise("none")
+    for k in reversed(range(len(sources))):
+        origin = F.when(F.col(f"_s{k}").isNotNull(), sources[k][0]).otherwise(origin)
+    return got.select("symbol", F.coalesce(*[F.col(f"_s{k}") for k in range(len(sources))], "_made").alias("smiles"), origin.alias("origin"))
+
+
+def pair_features(df: DataFrame, smiles: str, sequence: str, bits: int = 2048) -> DataFrame:
+    """(smiles, sequence, features) of the distinct pairs: the structure's fingerprint as 0 and 1, then the sequence's
+    residue shares and length share. Pairs whose structure can't be read, or with an empty sequence, are left out."""
+    from ..functions.helm import composition
+
+    pairs = df.where((F.length(sequence) > 0) & F.col(smiles).isNotNull()).select(smiles, sequence).distinct()
+    on = fingerprints(pairs, smiles, bits).where("bits IS NOT NULL")
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    gaps = F.transform(F.sequence(F.lit(0), F.size("bits") - 1), lambda i: F.concat(zeros(F.get("bits", i) - F.coalesce(F.when(i > 0, F.get("bits", i - 1)), F.lit(-1)) - 1), F.array(F.lit(1.0))))
+    dense = F.when(F.size("bits") > 0, F.concat(F.flatten(gaps), zeros(F.lit(bits) - 1 - F.element_at("bits", -1)))).otherwise(zeros(F.lit(bits)))
+    return pairs.join(on.select(smiles, dense.alias("_f")), smiles).select(smiles, sequence, F.concat("_f", F.array(*composition(sequence))).alias("features"))

@@ -36,6 +36,13 @@ def encoded(df: DataFrame, helm: str, table: DataFrame, longest: int = 512) -> D
     return df.withColumn("ids", F.concat(F.array(F.lit(SPECIAL["[CLS]"])), F.slice(body, 1, longest - 2), F.array(F.lit(SPECIAL["[SEP]"]))))
 
 
+def residues_encoded(df: DataFrame, sequence: str, longest: int = 1024) -> DataFrame:
+    """Adds ``{sequence}_ids``: CLS, a number for each capital letter (5 for A), SEP, cut to ``longest``."""
+    letters = F.regexp_extract_all(F.col(sequence), F.lit("[A-Z]"), F.lit(0))
+    body = F.transform(F.slice(letters, 1, longest - 2), lambda x: F.ascii(x) - F.lit(ord("A") - len(SPECIAL)))
+    return df.withColumn(f"{sequence}_ids", F.concat(F.array(F.lit(SPECIAL["[CLS]"])), body, F.array(F.lit(SPECIAL["[SEP]"]))))
+
+
 def batched(df: DataFrame, number: str, size: int) -> DataFrame:
     """Adds batch_id from a number that counts rows from 0."""
     return df.withColumn("batch_id", F.floor(F.col(number) / size).cast("long"))

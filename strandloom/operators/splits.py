@@ -139,7 +139,8 @@ def negative_pairs(positives: DataFrame, left: str, right: str, per_positive: in
     while True:
         every = draws * 2 >= n_a * n_b
         ids = spark.range(n_a * n_b if every else draws)
-        pick = lambda what, n: (F.col("id") / n_b).cast("long") if every and what == "a" else F.col("id") % n_b if every else F.pmod(F.xxhash64(F.lit(f"{seed}{what}"), "id"), F.lit(n))
+        drawn_number = lambda what, n: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(what), F.col("id").cast("string"))), 1, 15), 16, 10).cast("long") % n
+        pick = lambda what, n: (F.col("id") / n_b).cast("long") if every and what == "a" else F.col("id") % n_b if every else drawn_number(what, n)  # noqa: E731, B023
         drawn = ids.select(pick("a", n_a).cast("long").alias("i"), pick("b", n_b).cast("long").alias("j")).distinct()
         pairs = drawn.join(a.withColumnRenamed("number", "i"), "i").join(b.withColumnRenamed("number", "j"), "j").select(left, right).join(known, [left, right], "left_anti")
         pairs = written(pairs.withColumn("_o", md5_order(seed, left, right)), "negatives")
@@ -148,6 +149,23 @@ def negative_pairs(positives: DataFrame, left: str, right: str, per_positive: in
         draws *= 2
 
 
+def split_negatives(positives: DataFrame, left: str, right: str, split: str, order: list[str], per_positive: int, seed: int) -> DataFrame:
+    """(left, right, split) negatives for each split, from the ids of its own positives.
+
+    Splits are served in ``order``: each excludes all positives of every split and the negatives of the splits before, so
+    no pair is drawn twice. The k-th split's seed is ``seed + k``.
+    """
+    taken = everything = positives.select(left, right).distinct()
+    out = None
+    for k, name in enumerate(order):
+        own = positives.where(F.col(split) == name).select(left, right)
+        got = written(negative_pairs(own, left, right, per_positive, str(seed + k), excluded=taken), "split-negatives")
+        taken = taken.unionByName(got)
+        part = got.withColumn(split, F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else everything.limit(0).withColumn(split, F.lit(None).cast("string"))
+
+
 def running_sum(df: DataFrame, value, order: list, out: str) -> DataFrame:
     """Adds the sum of ``value`` over all rows up to this one in a total order, without one task that sees all rows:
     sums within range partitions, plus those of the partitions before (one number each)."""

@@ -132,20 +132,32 @@ def nearest_distance(queries: DataFrame, rows: DataFrame, key: str, vector: str,
     return out
 
 
-def mlp(df: DataFrame, key: str, vector: str, weights: list[list[float]], projection: list[float]) -> DataFrame:
-    """(key, output): gelu(x W) + x, projected. Whole batches go through numpy."""
+def mlp(df: DataFrame, key: str, vector: str, layers: list[tuple], output: tuple, epsilon: float = 1e-5) -> DataFrame:
+    """(key, output): through layers of (weights, bias, norm weight, norm bias), then the output layer (weights, bias).
+
+    A layer is x W + b, plus x itself where the sizes are equal, then the exact GELU, then layer normalisation (dropout
+    is nothing outside training). Whole batches go through numpy.
+    """
+    import math
+
     import numpy as np
 
-    w, p = np.array(weights), np.array(projection)
+    stack, (w_out, b_out) = [tuple(np.array(x, float) for x in layer) for layer in layers], (np.array(output[0], float), float(output[1]))
+    erf = np.vectorize(math.erf, otypes=[float])
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            x = np.array(b.column(1).to_pylist(), float).reshape(len(b), len(w))
-            u = x @ w
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((u / (1 + np.exp(-1.702 * u)) + x) @ p)], [key, "output"])
+            x = np.array(b.column(1).to_pylist(), float).reshape(len(b), -1)
+            for w, bias, gain, shift in stack:
+                u = x @ w + bias
+                u = u + x if u.shape == x.shape else u
+                u = 0.5 * u * (1 + erf(u / math.sqrt(2.0))) if u.size else u
+                centred = u - u.mean(1, keepdims=True)
+                x = centred / np.sqrt((centred**2).mean(1, keepdims=True) + epsilon) * gain + shift
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x @ w_out + b_out if len(b) else np.zeros(0))], [key, "output"])
 
     return df.select(key, vector).mapInArrow(run, f"`{key}` {kind}, output double")
 
@@ -153,3 +165,21 @@ def mlp(df: DataFrame, key: str, vector: str, weights: list[list[float]], projec
 def embedding_inputs(rows: DataFrame, text: str, stored: DataFrame | None, tokenise) -> DataFrame:
     """Stored vectors where a store is given, else token ids by ``tokenise``."""
     return with_embedding(rows, text, stored) if stored is not None else tokenise(rows)
+
+
+def by_representative(pairs: DataFrame, keys: list[str], representatives: DataFrame, stored: DataFrame) -> DataFrame:
+    """The vector of each pair by way of its representative: ``representatives`` is (keys, rep_id), one per pair,
+    ``stored`` (rep_id, vector). Pairs without one, or whose representative has no vector, are left out."""
+    return pairs.join(representatives, keys).join(stored, "rep_id")
+
+
+def dispatched(rows: DataFrame, text: str, given: str, stored: DataFrame) -> DataFrame:
+    """The vector a row brings, else the stored one of its text, else null; column ``vector``."""
+    got = rows.withColumn("key", F.md5(text)).join(stored.select("key", F.col("vector").alias("_stored")), "key", "left")
+    return got.withColumn("vector", F.coalesce(given, "_stored")).drop("_stored", "key")
+
+
+def stacked(df: DataFrame, batch: str, order: str, vector: str) -> DataFrame:
+    """(batch, vectors): the vectors of each batch, of a fixed size, in order."""
+    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(vector).alias("v"))))
+    return df.groupBy(batch).agg(F.transform(rows, lambda r: r["v"]).alias("vectors"))

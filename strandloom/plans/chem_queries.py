@@ -101,13 +101,41 @@ def padded_signatures(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", F.size(x).alias("size"), F.round(x[0].cast("double"), 6).alias("first"), F.round(x[99].cast("double"), 6).alias("last"))
 
 
+def _entries(spark, sf_dir):
+    """(symbol, smiles, n_rgroups, monomer_type, source, priority, entry_id) of the library, then of both monomer tables."""
+    lib = read(spark, sf_dir, "monomer_library").select("symbol", "smiles", "n_rgroups", "monomer_type", "source", F.lit(0).alias("priority"), F.col("monomer_id").alias("entry_id"))
+    chembl = read(spark, sf_dir, "chembl_monomers").select(F.col("monomer_id").alias("symbol"), F.col("monomer_smiles").alias("smiles"), "n_rgroups", "monomer_type", F.lit("ChEMBL").alias("source"), F.lit(1).alias("priority"), F.col("chembl_id").alias("entry_id"))
+    cycpept = read(spark, sf_dir, "cycpept_monomers").select("symbol", F.col("cxsmiles").alias("smiles"), "n_rgroups", "monomer_type", F.lit("CycPeptMPDB").alias("source"), F.lit(2).alias("priority"), F.col("cycpept_id").alias("entry_id"))
+    return lib.unionByName(chembl).unionByName(cycpept)
+
+
 @query()
 def generated_library(spark, sf_dir):
-    """A structure for each symbol of the library, else by turning round or methylating its parent (part of V6)."""
-    lib = read(spark, sf_dir, "monomer_library").groupBy("symbol").agg(F.min_by("smiles", "monomer_id").alias("smiles"))
-    parent = F.regexp_replace("symbol", "^(Me_d|me|d)", "")
-    base = ch.structure_features(lib, "smiles").join(lib, "smiles").select(F.col("symbol").alias("parent"), "canonical", "mirrored", "methylated")
-    wanted = lib.select("symbol", "smiles", parent.alias("parent"))
-    made = F.when(F.col("symbol").startswith("me"), F.col("methylated")).when(F.col("symbol").startswith("d"), F.col("mirrored")).otherwise(F.col("canonical"))
-    got = wanted.join(base, "parent", "left")
-    return got.select("symbol", F.coalesce("smiles", made).alias("smiles"), F.when(F.col("smiles").isNotNull(), "library").when(made.isNotNull(), "generated").otherwise("none").alias("origin"), made.alias("generated"))
+    """V6: a structure for each symbol of the three tables: ChEMBL's, else CycPept's, else the parent's turned round,
+    methylated, or both."""
+    entries = _entries(spark, sf_dir)
+    of = lambda k: entries.where(F.col("priority") == k).select("symbol", "smiles")
+    return ch.generated_structures(entries, [("ChEMBL", of(1)), ("CycPeptMPDB", of(2))], of(0))
+
+
+@query()
+def library_ordered_merge(spark, sf_dir):
+    """One entry per canonical structure of three tables, the library first."""
+    entries = _entries(spark, sf_dir)
+    texts = ch.canonical_texts(entries, "smiles").withColumnRenamed("canonical", "core")
+    return ch.merged_library(entries.where("smiles IS NOT NULL").join(texts, "smiles").drop("smiles"))
+
+
+@query()
+def median_by_canonical(spark, sf_dir):
+    """A5: medians of the assays per molecule, its first row otherwise."""
+    rows = read(spark, sf_dir, "permeability_peptides").select("smiles", "row_id", "id", "source", "permeability", "pampa", "caco2")
+    return ch.medians_by_structure(rows, "smiles", ["permeability", "pampa", "caco2"], "row_id")
+
+
+@query()
+def pair_features(spark, sf_dir):
+    """Fingerprint and composition of each distinct pair, as the vector's size, sum and number of bits."""
+    got = ch.pair_features(read(spark, sf_dir, "ppi_split"), "canonical_smiles", "target_sequence")
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    return got.select(F.md5("canonical_smiles").alias("smiles_key"), F.md5("target_sequence").alias("sequence_key"), F.size("features").alias("size"), total(F.slice("features", 1, 2048)).cast("int").alias("n_bits"), F.round(total("features"), 6).alias("total"))

@@ -29,7 +29,7 @@ def ppi(spark, sf_dir):
     return read(spark, sf_dir, "chembl_ppi").select("row_id", "compound_chembl_id", h.clean("helm_notation").alias("helm"))
 
 
-WS = r"[\s\x{00A0}\x{2009}]"
+WS = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x{000B}\x{001C}-\x{001F}]"
 PPI = f"p AS (SELECT row_id, compound_chembl_id, regexp_replace(helm_notation, '{WS}', '', 'g') AS helm FROM chembl_ppi)"
 _MON = r"list_transform(list_filter(list_transform(flatten(list_transform(regexp_extract_all(helm, 'PEPTIDE[0-9]+\{([^}]*)\}', 1), lambda b: string_split(b, '.'))), lambda m: trim(m)), lambda m: m <> ''), lambda m: regexp_replace(m, '^\[(.*)\]$', '\1'))"
 MON = rf"m AS (SELECT row_id, compound_chembl_id, helm, CASE WHEN len(regexp_extract_all(helm, 'PEPTIDE[0-9]+\{{([^}}]*)\}}', 1)) > 0 THEN {_MON} END AS monomers FROM p)"
@@ -96,11 +96,15 @@ def library_alternatives(spark, sf_dir):
     return alternatives(read(spark, sf_dir, "monomer_library"))
 
 
-def alternative_map(library: DataFrame):
-    table = alternatives(library)
-    if not fits(table, 100):
-        raise ValueError("the library is too large for a constant map; join alternatives() instead")
-    return h.map_column({r["alt"]: r["symbol"] for r in table.collect()})
+def remap(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` (row_id, helm) with the alternatives of ``table`` (alt, symbol) replaced: through a constant map where it is
+    proven small, else each row's own symbols are joined and come back as the row's map."""
+    if fits(table, 100):
+        return rows.withColumn("helm", h.remapped("helm", h.map_column({r["alt"]: r["symbol"] for r in table.collect()})))
+    met = rows.select("row_id", F.explode(F.array_distinct(h.monomers("helm"))).alias("alt")).join(table, "alt")
+    own = met.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("alt", "symbol"))).alias("_own"))  # the symbols of one row
+    got = rows.join(own, "row_id", "left")
+    return got.withColumn("helm", F.when(F.col("_own").isNull(), F.col("helm")).otherwise(h.remapped("helm", F.col("_own")))).drop("_own")
 
 
 @query(
@@ -112,8 +116,7 @@ def alternative_map(library: DataFrame):
 )
 def helm_alt_remap(spark, sf_dir):
     """H4: alternative symbols replaced by those of the library."""
-    table = alternative_map(read(spark, sf_dir, "monomer_library"))
-    return ppi(spark, sf_dir).where("helm IS NOT NULL").select("row_id", h.remapped("helm", table).alias("helm"))
+    return remap(ppi(spark, sf_dir).where("helm IS NOT NULL").select("row_id", "helm"), alternatives(read(spark, sf_dir, "monomer_library")))
 
 
 @query(f"WITH {PPI}, {MON}, v AS (SELECT list(DISTINCT symbol) AS v FROM monomer_library) SELECT row_id, coalesce(len(list_filter(monomers, lambda x: NOT list_contains(v, x))) = 0, false) AS valid FROM m, v WHERE helm IS NOT NULL")
@@ -135,7 +138,8 @@ def apply_corrections(rows: DataFrame, corrections: list[tuple[str, str, str]])
     table = rows.sparkSession.createDataFrame([(c, i, a, b) for i, (c, a, b) in enumerate(corrections)], "compound_chembl_id string, i int, original string, corrected string")
     table = table.groupBy("compound_chembl_id").agg(F.sort_array(F.collect_list(F.struct("i", "original", "corrected"))).alias("rewrites"))
     done = F.aggregate("rewrites", F.col("helm"), lambda acc, r: F.replace(acc, r["original"], r["corrected"]))
-    return rows.join(F.broadcast(table), "compound_chembl_id", "left").withColumn("helm", F.when(F.col("rewrites").isNull(), F.col("helm")).otherwise(done)).drop("rewrites")
+    table = F.broadcast(table) if fits(table, 200) else table
+    return rows.join(table, "compound_chembl_id", "left").withColumn("helm", F.when(F.col("rewrites").isNull(), F.col("helm")).otherwise(done)).drop("rewrites")
 
 
 @query(f"WITH {PPI} SELECT row_id, CASE compound_chembl_id WHEN 'CHEMBL9000000109' THEN replace(replace(helm, '[meA]', '[Sar]'), '[Sar].G', 'G.[Sar]') WHEN 'CHEMBL9000000451' THEN replace(replace(helm, '[dT]', '[dS]'), '[nowhere]', 'A') ELSE helm END AS helm FROM p WHERE helm IS NOT NULL")
@@ -231,3 +235,26 @@ def monomer_features(spark, sf_dir):
         "monomer_id", F.upper(F.trim(s)).alias("key"), s.rlike("^(Mono|X)[0-9]+$").alias("is_generic"), F.trim(F.split("smiles", r"\|")[0]).alias("core"), F.size(F.regexp_extract_all("smiles", F.lit(r"\[\*:[0-9]+\]"), F.lit(0))).alias("n_groups"),
         F.regexp_extract(s, "^(?:Me_d|me|d)?([A-Z])$", 1).alias("base"), F.when(s.startswith("Me_d"), "D, N-methyl").when(s.startswith("me"), "N-methyl").when(s.startswith("d"), "D").otherwise("L").alias("description"),
     )
+
+
+_REMAP = rf"""t AS (SELECT map(list(alt), list(symbol)) AS t FROM a),
+    s AS (SELECT row_id, t, unnest(string_split(helm, '}}')) AS part, generate_subscripts(string_split(helm, '}}'), 1) AS i FROM n, t),
+    x AS (SELECT row_id, i, CASE WHEN regexp_matches(part, 'PEPTIDE[0-9]+\{{[^{{]*$') THEN regexp_extract(part, '^(.*PEPTIDE[0-9]+\{{)[^{{]*$', 1) || array_to_string(list_transform(string_split(regexp_extract(part, '\{{([^{{]*)$', 1), '.'),
+      lambda m: CASE WHEN t[regexp_replace(m, '^\[(.*)\]$', '\1')] IS NULL THEN m WHEN m LIKE '[%' OR length(t[regexp_replace(m, '^\[(.*)\]$', '\1')]) > 1 THEN '[' || t[regexp_replace(m, '^\[(.*)\]$', '\1')] || ']' ELSE t[regexp_replace(m, '^\[(.*)\]$', '\1')] END), '.') ELSE part END AS part FROM s),
+    r AS (SELECT row_id, string_agg(part, '}}' ORDER BY i) AS helm FROM x GROUP BY row_id)"""
+
+
+@query(
+    f"""WITH {PPI}, n AS (SELECT row_id, CASE WHEN len(list_distinct(regexp_extract_all(helm, 'PEPTIDE[0-9]+'))) = 1 THEN regexp_replace(helm, 'PEPTIDE[0-9]+', 'PEPTIDE1', 'g') ELSE helm END AS helm FROM p WHERE helm <> ''), {ALT}, {_REMAP},
+    o AS (SELECT row_id, NULL AS compound_chembl_id, {LINKED} AS helm FROM r), {MON.replace(' FROM p)', ' FROM o)')}, v AS (SELECT list(DISTINCT symbol) AS v FROM monomer_library)
+    SELECT row_id, helm, coalesce(len(list_filter(monomers, lambda x: NOT list_contains(v, x))) = 0, false) AS valid FROM m, v"""
+)
+def helm_normalized(spark, sf_dir):
+    """H8: the whole normalisation as a table: blanks dropped, single chains renumbered, alternatives replaced, connections in
+    order, and whether the library has every monomer."""
+    library = read(spark, sf_dir, "monomer_library")
+    rows = ppi(spark, sf_dir).where("helm <> ''").select("row_id", h.renumbered("helm").alias("helm"))
+    rows = remap(rows, alternatives(library)).select("row_id", h.linked_in_order("helm").alias("helm"))
+    symbols = library.select("symbol").distinct()
+    bad = rows.select("row_id", F.explode(h.monomers("helm")).alias("symbol")).join(F.broadcast(symbols) if fits(symbols, 60) else symbols, "symbol", "left_anti").select("row_id").distinct().withColumn("bad", F.lit(True))
+    return rows.join(bad, "row_id", "left").select("row_id", "helm", (h.monomers("helm").isNotNull() & F.col("bad").isNull()).alias("valid"))

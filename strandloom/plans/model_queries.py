@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import stats as st
 from ..functions.helm import clean
 from ..operators import metrics as m, sequences as q, vectors as v
-from .helm_queries import PPI, read
+from .helm_queries import PPI, WS, read
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -97,12 +97,12 @@ def nig_loss(spark, sf_dir):
 _DIR = f"h AS (SELECT vec_id, label % 2 AS t, {_SP('x0')} + 1 AS a, {_SP('x1')} + 1 AS b FROM x)"
 
 
-@query(f"WITH {_X}, {_DIR} SELECT vec_id, round(a / (a + b), 6) AS p0, round(b / (a + b), 6) AS p1, round(2 / (a + b), 6) AS uncertainty, CAST(b / (a + b) >= 0.5 AS INT) AS at_half, CAST(b > a AS INT) AS by_argmax FROM h")
+@query(f"WITH {_X}, {_DIR} SELECT vec_id, round(a / (a + b), 6) AS p0, round(b / (a + b), 6) AS p1, round(2 / (a + b), 6) AS uncertainty, CAST(b / (a + b) > 0.5 AS INT) AS at_half, CAST(b > a AS INT) AS by_argmax FROM h")
 def dirichlet_head(spark, sf_dir):
     """Class probabilities, uncertainty and both ways to decide."""
     _, p, u = st.dirichlet_head([F.col("x0"), F.col("x1")])
     argmax = (F.array_position(F.array(*p), F.array_max(F.array(*p))) - 1).cast("int")
-    return _emb(spark, sf_dir, 2).select("vec_id", F.round(p[0], 6).alias("p0"), F.round(p[1], 6).alias("p1"), F.round(u, 6).alias("uncertainty"), (p[1] >= 0.5).cast("int").alias("at_half"), argmax.alias("by_argmax"))
+    return _emb(spark, sf_dir, 2).select("vec_id", F.round(p[0], 6).alias("p0"), F.round(p[1], 6).alias("p1"), F.round(u, 6).alias("uncertainty"), (p[1] > 0.5).cast("int").alias("at_half"), argmax.alias("by_argmax"))
 
 
 def _dg(x):
@@ -206,27 +206,27 @@ def nearest_vectors(spark, sf_dir):
     return v.nearest(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 5)
 
 
-@query("WITH e AS (SELECT label, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings), t AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i, vec_id FROM e) SELECT label, CAST(i - 1 AS INT) AS dim, round(avg(CASE WHEN vec_id % 3 <> 0 THEN CAST(x AS DOUBLE) END), 6) AS mean FROM t WHERE i <= 4 GROUP BY 1, 2")
-def masked_mean_pool(spark, sf_dir):
-    """Mean over the vectors that are not masked, the first four dimensions (all: mean_pool_whole)."""
-    e = read(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x"), "vec_id").where("dim < 4")
-    return e.groupBy("label", "dim").agg(F.round(F.avg(F.when(F.col("vec_id") % 3 != 0, F.col("x").cast("double"))), 6).alias("mean"))
+_ROWS = "t AS (SELECT label, vec_id, unnest(embedding) AS x, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS dim, embedding[2] AS score FROM embeddings)"
 
 
-@query()
-def mean_pool_whole(spark, sf_dir):
+@query(f"WITH {_ROWS} SELECT label, dim, round(coalesce(sum(CASE WHEN vec_id % 3 <> 0 THEN CAST(x AS DOUBLE) END), 0) / greatest(count_if(vec_id % 3 <> 0), 1e-9), 6) AS mean FROM t GROUP BY 1, 2")
+def masked_mean_pool(spark, sf_dir):
     """Mean over the vectors that are not masked, in every dimension."""
     got = v.mean_pooled_rows(read(spark, sf_dir, "embeddings"), "label", "embedding", (F.col("vec_id") % 3 != 0).cast("int"))
     return got.select("label", "dim", F.round("pooled", 6).alias("mean"))
 
 
-@query()
-def attention_pool_whole(spark, sf_dir):
+@query(f"WITH {_ROWS} SELECT label, dim, round(sum(CAST(x AS DOUBLE) * exp(CAST(score AS DOUBLE))) / sum(exp(CAST(score AS DOUBLE))), 6) AS pooled FROM t WHERE vec_id % 3 <> 0 GROUP BY 1, 2")
+def attention_pool(spark, sf_dir):
     """Softmax-weighted mean over the vectors that are not masked, in every dimension; the second one is the score."""
     got = v.attention_pooled_rows(read(spark, sf_dir, "embeddings"), "label", "embedding", F.col("embedding")[1], (F.col("vec_id") % 3 != 0).cast("int"))
     return got.select("label", "dim", F.round("pooled", 6).alias("pooled"))
 
 
+for _whole, _same in (("mean_pool_whole", masked_mean_pool), ("attention_pool_whole", attention_pool)):  # their names so far
+    QUERIES[_whole], SQL[_whole] = _same, SQL[_same.__name__]
+
+
 @query()
 def pca_points(spark, sf_dir):
     """Two components to plot (t-SNE has no counterpart here)."""
@@ -259,17 +259,10 @@ def epoch_metrics(spark, sf_dir):
     return rows.groupBy("split").agg(F.count("*").alias("n"), F.round(F.avg("u"), 6).alias("uncertainty"), F.round(F.avg(((F.col("p") > 0.5) == (F.col("y") == 1)).cast("int")), 6).alias("accuracy"), F.when(F.min("y") != F.max("y"), F.round(F.sqrt(F.avg(err * err)), 6)).alias("rmse"))
 
 
-@query("SELECT label, count(*) AS n, array_to_string(list_sort(list(vec_id)), ' ') AS members FROM embeddings GROUP BY label")
+@query("SELECT label, CAST(floor(vec_id / 1000) AS BIGINT) AS page, count(*) AS n, array_to_string(list_sort(list(vec_id)), ' ') AS members FROM embeddings GROUP BY 1, 2")
 def group_members(spark, sf_dir):
-    """Members of each group in order (a report; operators keep members as rows)."""
-    return read(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("vec_id")), " ").alias("members"))
-
-
-@query("WITH s AS (SELECT label, CAST(vec_id AS INT) AS vec_id, CAST(embedding[1] AS DOUBLE) AS x, exp(CAST(embedding[2] AS DOUBLE)) AS w FROM embeddings) SELECT label, round(sum(x * w) / sum(w), 6) AS pooled FROM s WHERE vec_id % 3 <> 0 GROUP BY label")
-def attention_pool(spark, sf_dir):
-    """Softmax-weighted mean over the vectors that are not masked, the first dimension (all: attention_pool_whole)."""
-    s = read(spark, sf_dir, "embeddings").where("vec_id % 3 <> 0").select("label", F.col("embedding")[0].cast("double").alias("x"), F.exp(F.col("embedding")[1].cast("double")).alias("w"))
-    return s.groupBy("label").agg(F.round(F.sum(F.col("x") * F.col("w")) / F.sum("w"), 6).alias("pooled"))
+    """Members of each group in order, in pages of a thousand ids, so that no row grows with the group."""
+    return read(spark, sf_dir, "embeddings").groupBy("label", F.floor(F.col("vec_id") / 1000).alias("page")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("vec_id")), " ").alias("members"))
 
 
 @query("WITH e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 50 = 0), d AS (SELECT q.vec_id, min(sqrt((q.x - e.x) ** 2 + (q.y - e.y) ** 2)) AS d FROM q JOIN e ON q.vec_id <> e.vec_id GROUP BY 1) SELECT count(*) AS n, round(quantile_cont(d, 0.25), 6) AS spacing, round(least(greatest(quantile_cont(d, 0.25) * 40, 2), 40), 6) AS point_size FROM d")
@@ -281,8 +274,63 @@ def point_spacing(spark, sf_dir):
     return d.agg(F.count("*").alias("n"), F.round(q, 6).alias("spacing"), F.round(F.least(F.greatest(q * 40, F.lit(2.0)), F.lit(40.0)), 6).alias("point_size"))
 
 
-@query("WITH x AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings), h AS (SELECT vec_id, a, b, a + b AS u, a - b AS w FROM x) SELECT vec_id, round(0.5 * (u / (1 + exp(-1.702 * u)) + a) - 0.25 * (w / (1 + exp(-1.702 * w)) + b), 6) AS output FROM h")
+#: The error function by its series; vectors here are small enough for 80 terms.
+_ERF = lambda x: f"CASE WHEN abs({x}) > 5 THEN sign({x}) ELSE 2 / sqrt(pi()) * list_sum(list_transform(range(0, 80), lambda k: (CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * ({x}) ** (2 * k + 1) / (exp(lgamma(k + 1)) * (2 * k + 1)))) END"
+_GELU = lambda x: f"0.5 * {x} * (1 + {_ERF(f'{x} / sqrt(2.0)')})"
+
+
+@query(f"""WITH x AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings),
+h AS (SELECT vec_id, a + b - 0.5 * c + 0.1 + a AS u, a - b + 0.25 * c + b AS w, 0.5 * a + 0.5 * b + c - 0.2 + c AS z FROM x), g AS (SELECT vec_id, {_GELU('u')} AS u, {_GELU('w')} AS w, {_GELU('z')} AS z FROM h),
+m AS (SELECT vec_id, u - (u + w + z) / 3 AS u, w - (u + w + z) / 3 AS w, z - (u + w + z) / 3 AS z FROM g), n AS (SELECT vec_id, sqrt((u * u + w * w + z * z) / 3 + 1e-5) AS s, u, w, z FROM m)
+SELECT vec_id, round(0.5 * (u / s * 1.5 + 0.1) - 0.25 * (w / s) + z / s * 0.5 + 0.3, 5) AS output FROM n""")
 def mlp_head(spark, sf_dir):
-    """A layer with identity skip and a (sigmoid-form) GELU, then a projection, as Arrow batches."""
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.array(F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")).alias("x"))
-    return v.mlp(rows, "vec_id", "x", [[1.0, 1.0], [1.0, -1.0]], [0.5, -0.25]).select("vec_id", F.round("output", 6).alias("output"))
+    """A layer with identity skip, exact GELU and layer normalisation, then the output layer, as Arrow batches."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.array(*[F.col("embedding")[i].cast("double") for i in range(3)]).alias("x"))
+    layer = ([[1.0, 1.0, 0.5], [1.0, -1.0, 0.5], [-0.5, 0.25, 1.0]], [0.1, 0.0, -0.2], [1.5, 1.0, 0.5], [0.1, 0.0, 0.0])
+    return v.mlp(rows, "vec_id", "x", [layer], ([0.5, -0.25, 1.0], 0.3)).select("vec_id", F.round("output", 5).alias("output"))
+
+
+@query("WITH o AS (SELECT vec_id, embedding, (row_number() OVER (ORDER BY md5('stack:' || vec_id)) - 1) // 32 AS batch_id FROM embeddings) SELECT CAST(batch_id AS BIGINT) AS batch_id, CAST(count(*) AS INT) AS n, CAST(max(len(embedding)) AS INT) AS width, round(sum(CAST(embedding[1] AS DOUBLE)), 5) AS first FROM o GROUP BY 1")
+def stacked_vectors(spark, sf_dir):
+    """The vectors of each batch of 32, in seeded order, stacked."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    got = v.stacked(q.batched(e.join(q.epoch_order(e, "vec_id", "stack"), "vec_id"), "number", 32), "batch_id", "number", "embedding")
+    return got.select("batch_id", F.size("vectors").alias("n"), F.array_max(F.transform("vectors", F.size)).alias("width"), F.round(F.aggregate("vectors", F.lit(0.0), lambda s, x: s + x[0].cast("double")), 5).alias("first"))
+
+
+_PRO = "[1] || list_transform(regexp_extract_all(target_sequence, '[A-Z]')[:1022], lambda x: ord(x) - 60) || [2]"
+
+
+@query(f"WITH p AS (SELECT row_id, regexp_replace(helm_notation, '{WS}', '', 'g') AS helm, upper(regexp_replace(target_sequence, '{WS}', '', 'g')) AS target_sequence FROM ppi_split), {_VOC}, mp AS (SELECT map(list(token), list(id)) AS t FROM w) SELECT row_id, array_to_string([1] || list_transform(regexp_extract_all(helm, '{_TOK}')[:510], lambda x: coalesce(t[x], 4)) || [2], ' ') AS helm_ids, array_to_string({_PRO}, ' ') AS protein_ids FROM p, mp WHERE helm IS NOT NULL AND target_sequence <> ''")
+def pair_tokens(spark, sf_dir):
+    """B2: both sides of each pair: the notation's tokens to 512, the protein's residues (A is 5, Z is 30) to 1,024."""
+    rows = read(spark, sf_dir, "ppi_split").select("row_id", clean("helm_notation").alias("helm"), F.upper(clean("target_sequence")).alias("protein"))
+    both = q.encoded(rows.where("helm IS NOT NULL AND protein <> ''"), "helm", q.vocabulary(rows, "helm", VOCABULARY))
+    both = q.residues_encoded(both, "protein", 1024)
+    return both.select("row_id", F.array_join("ids", " ").alias("helm_ids"), F.array_join("protein_ids", " ").alias("protein_ids"))
+
+
+@query("WITH r AS (SELECT compound_chembl_id, target_chembl_id, min(row_id) % 2000 AS rep_id FROM ppi_split WHERE compound_chembl_id IS NOT NULL AND target_chembl_id IS NOT NULL GROUP BY 1, 2) SELECT row_id, rep_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM ppi_split JOIN r USING (compound_chembl_id, target_chembl_id) JOIN embeddings ON vec_id = rep_id")
+def pair_vectors(spark, sf_dir):
+    """Each row's vector by way of its pair's representative (the pair's first row; row numbers stand for vector ids)."""
+    keys = ["compound_chembl_id", "target_chembl_id"]
+    rows = read(spark, sf_dir, "ppi_split").select("row_id", *keys)
+    reps = rows.na.drop(subset=keys).groupBy(*keys).agg((F.min("row_id") % 2000).alias("rep_id"))
+    stored = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rep_id"), F.col("embedding").alias("vector"))
+    return v.by_representative(rows, keys, reps, stored).select("row_id", "rep_id", F.round(F.col("vector")[0].cast("double"), 6).alias("first"))
+
+
+@query("WITH s AS (SELECT row_id, label, split, min(row_id) OVER (PARTITION BY compound_chembl_id, target_chembl_id) % 2000 AS rep_id, compound_chembl_id, target_chembl_id FROM ppi_split WHERE compound_chembl_id IS NOT NULL AND target_chembl_id IS NOT NULL), p AS (SELECT row_id, rep_id, split = 'test' AS is_test FROM s WHERE label = 1), c AS (SELECT row_id, rep_id, CASE WHEN is_test THEN 'test' WHEN row_number() OVER (PARTITION BY is_test ORDER BY md5('plot:' || row_id)) <= ceil(0.1 * count(*) OVER (PARTITION BY is_test)) THEN 'valid' ELSE 'train' END AS panel FROM p) SELECT c.row_id, panel, round(CAST(embedding[1] AS DOUBLE), 6) AS x, round(CAST(embedding[2] AS DOUBLE), 6) AS y FROM c JOIN embeddings ON vec_id = rep_id")
+def plot_table(spark, sf_dir):
+    """Positives only, a tenth of train carved out as valid, the pair's vector (two coordinates) and its panel."""
+    from ..operators.splits import random_split
+
+    keys = ["compound_chembl_id", "target_chembl_id"]
+    rows = read(spark, sf_dir, "ppi_split").select("row_id", "label", "split", *keys).na.drop(subset=keys)
+    reps = rows.groupBy(*keys).agg((F.min("row_id") % 2000).alias("rep_id"))
+    positive = rows.where("label = 1").select("row_id", *keys, (F.col("split") == "test").alias("is_test"))
+    carved = random_split(positive.where("NOT is_test").select("row_id"), "row_id", 0.1, "plot").select("row_id", F.when(F.col("split") == "test", "valid").otherwise("train").alias("panel"))
+    named = positive.join(carved, "row_id", "left").withColumn("panel", F.coalesce("panel", F.lit("test")))
+    stored = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rep_id"), F.col("embedding").alias("vector"))
+    xy = [F.round(F.col("vector")[i].cast("double"), 6).alias(c) for i, c in enumerate("xy")]
+    return v.by_representative(named, keys, reps, stored).select("row_id", "panel", *xy)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chemistry as ch, splits as s
+from ..operators.joins import lookup_join
 from ..shared import written
 from .curate_queries import _CLEAN, _DIM, _POS, assays, positive_pairs, positives_with_attributes
 from .helm_queries import read
@@ -111,12 +112,39 @@ def family_fold_checks(spark, sf_dir):
 NEGATIVES = 4
 
 
-@query()
+_DRAWN = """a AS (SELECT compound_chembl_id, row_number() OVER (ORDER BY compound_chembl_id) - 1 AS i FROM (SELECT DISTINCT compound_chembl_id FROM {own})), b AS (SELECT target_chembl_id, row_number() OVER (ORDER BY target_chembl_id) - 1 AS j FROM (SELECT DISTINCT target_chembl_id FROM {own})),
+w AS (SELECT *, 2 * greatest(1000, 2 * want) >= n_a * n_b AS every FROM (SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b, 4 * count(*) AS want FROM {own})),
+d AS (SELECT DISTINCT CASE WHEN every THEN id // n_b ELSE CAST('0x' || substr(md5('{seed}:a:' || id), 1, 15) AS BIGINT) % n_a END AS i, CASE WHEN every THEN id % n_b ELSE CAST('0x' || substr(md5('{seed}:b:' || id), 1, 15) AS BIGINT) % n_b END AS j
+  FROM (SELECT unnest(range(CASE WHEN every THEN n_a * n_b ELSE greatest(1000, 2 * want) END)) AS id, n_a, n_b, every FROM w)),
+f AS (SELECT compound_chembl_id, target_chembl_id FROM d JOIN a USING (i) JOIN b USING (j) ANTI JOIN {known} USING (compound_chembl_id, target_chembl_id)),
+o AS (SELECT *, row_number() OVER (ORDER BY md5('{seed}:' || compound_chembl_id || ':' || target_chembl_id)) AS r FROM f)"""
+
+
+@query(f"WITH {_POS}, {_DRAWN.format(own='pos', known='pos', seed='neg')} SELECT compound_chembl_id, target_chembl_id FROM o, w WHERE r <= want")
 def negative_sampling(spark, sf_dir):
     """Four negatives for each positive pair."""
     return s.negative_pairs(positive_pairs(spark, sf_dir), "compound_chembl_id", "target_chembl_id", NEGATIVES, "neg")
 
 
+def _positive_splits(spark, sf_dir):
+    pos = positive_pairs(spark, sf_dir)
+    return pos.join(s.random_split(pos.select("row_id"), "row_id", 0.2, "pairs").select("row_id", "split"), "row_id")
+
+
+_PARTS = f"{_POS}, g AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY md5('pairs:' || row_id)) <= ceil(0.2 * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split FROM pos)"
+_FIRST = _DRAWN.format(own="(SELECT * FROM g WHERE split = 'train')", known="pos", seed="42")
+_THEN = _DRAWN.format(own="(SELECT * FROM g WHERE split = 'test')", known="known", seed="43")
+_NEGATIVES = f"""WITH {_PARTS}, n1 AS (WITH {_FIRST} SELECT compound_chembl_id, target_chembl_id FROM o, w WHERE r <= want), known AS (SELECT compound_chembl_id, target_chembl_id FROM pos UNION ALL SELECT * FROM n1),
+n2 AS (WITH {_THEN} SELECT compound_chembl_id, target_chembl_id FROM o, w WHERE r <= want), n AS (SELECT *, 'train' AS split FROM n1 UNION ALL SELECT *, 'test' FROM n2)"""
+
+
+@query(f"{_NEGATIVES} SELECT compound_chembl_id, target_chembl_id, split FROM n")
+def negatives_by_split(spark, sf_dir):
+    """Four negatives for each positive of a split, from the split's own ids, train first; no positive of any split
+    and no pair twice, with a seed for each split."""
+    return s.split_negatives(_positive_splits(spark, sf_dir), "compound_chembl_id", "target_chembl_id", "split", ["train", "test"], NEGATIVES, 42)
+
+
 @query(f"WITH {_POS}, q AS (SELECT count(*) AS p, count(DISTINCT compound_chembl_id) * count(DISTINCT target_chembl_id) AS product FROM pos) SELECT CAST(least(4 * p, product - p) AS BIGINT) AS n_negatives, CAST(0 AS BIGINT) AS n_collisions, CAST(0 AS BIGINT) AS n_repeated FROM q")
 def negative_checks(spark, sf_dir):
     """V1-V3: as many negatives as asked for, none a positive, none twice."""
@@ -180,6 +208,16 @@ def scaffold_split_choice(spark, sf_dir):
     return got.select(*[F.round(c, 6).alias(c) if k == "double" else c for c, k in got.dtypes])
 
 
+@query()
+def scaffold_split(spark, sf_dir):
+    """Every peptide in the split that the best of the six greedy partitions gives its scaffold."""
+    orders, prints = _greedy_orders(spark, sf_dir)
+    best = s.greedy_scores(orders, prints).where("place = 1").select("strategy")
+    chosen = orders.join(F.broadcast(best), "strategy").select("scaffold", F.when(F.col("in_test"), "test").otherwise("train").alias("split"))
+    rows = assays(spark, sf_dir).select("row_id", F.coalesce(F.nullif("scaffold", F.lit("")), F.lit(ch.NO_SCAFFOLD)).alias("scaffold"))
+    return lookup_join(rows, chosen, ["scaffold"], 200).select("row_id", "scaffold", "split")
+
+
 @query()
 def cluster_split(spark, sf_dir):
     """Standardise, PCA, k-means, whole clusters into test."""

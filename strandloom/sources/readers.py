@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -41,9 +40,7 @@ def configured(spark: SparkSession, path: str, usecols: list[str] | None = None,
 
 def optional(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
     """An empty table where there is no file."""
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
-    return csv(spark, path, **options) if found else spark.createDataFrame([], schema)
+    return csv(spark, path, **options) if there(spark, path) else spark.createDataFrame([], schema)
 
 
 def monomer_xml(spark: SparkSession, path: str, polymer: str = "PEPTIDE") -> DataFrame:
@@ -125,6 +122,33 @@ def layered(*layers: dict, overrides: list[str] = ()) -> dict:
     return out
 
 
-def existing(paths: dict[str, str]) -> dict[str, str]:
-    """The datasets whose local file is there; others are skipped by name."""
-    return {k: p for k, p in paths.items() if Path(p).exists()}
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store it names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def existing(paths: dict[str, str], spark: SparkSession | None = None) -> dict[str, str]:
+    """The datasets whose file is there; others are skipped by name. Without a session, the active one is used."""
+    spark = spark or SparkSession.active()
+    return {k: p for k, p in paths.items() if there(spark, p)}
+
+
+def layered_files(spark: SparkSession, *paths: str, overrides: list[str] = ()) -> dict:
+    """layered() over YAML (or JSON) files, those that are there, in order."""
+    import yaml
+
+    texts = ["\n".join(r[0] for r in spark.read.text(p).coalesce(1).collect()) for p in existing({p: p for p in paths}, spark)]
+    return layered(*[yaml.safe_load(t) or {} for t in texts], overrides=overrides)
+
+
+def resolved_checkpoint(table: DataFrame, which: str = "best") -> str | None:
+    """The path of a checkpoint from (path, step, val_loss): ``best`` by loss, ``last`` by step, else the one whose path
+    is or ends in the name; null losses are never best, ties go to the later step."""
+    if which == "best":
+        got = table.where(F.col("val_loss").isNotNull() & ~F.isnan("val_loss")).agg(F.min_by("path", F.struct("val_loss", -F.col("step"))))
+    elif which == "last":
+        got = table.agg(F.max_by("path", "step"))
+    else:
+        got = table.where((F.col("path") == which) | F.endswith("path", F.lit(f"/{which}"))).agg(F.max_by("path", "step"))
+    return got.first()[0]

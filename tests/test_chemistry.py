@@ -3,6 +3,7 @@ import random
 import pytest
 
 from strandloom.functions import molgraph as g
+from strandloom.operators import chemistry as ch
 
 
 def rewritten(m, seed):
@@ -117,3 +118,35 @@ def test_every_scaffold_has_its_nearest(spark, tmp_path):
     got = scaffold_novelty(spark, str(tmp_path)).first()
     assert got.n_scaffolds == len(picked) > 0
     assert got.worst_similarity == pytest.approx(max(picked.values()), abs=1e-6)
+
+
+def test_medians_by_structure(spark):
+    rows = [(1, "OC(=O)[C@H](C)N", "a", "1.0"), (2, "N[C@@H](C)C(=O)O", "b", "3"), (3, "N[C@@H](C)C(=O)O", None, "x"), (4, "broken(", "c", "7"), (5, "broken(", "d", None), (6, None, "e", "2")]
+    got = ch.medians_by_structure(spark.createDataFrame(rows, "n long, smiles string, tag string, v string"), "smiles", ["v"], "n").collect()
+    assert {(r.smiles, r.n, r.tag, r.v, r.n_rows) for r in got} == {(g.canonical_smiles("N[C@@H](C)C(=O)O"), 1, "a", 2.0, 3), ("broken(", 4, "c", 7.0, 2), (None, 6, "e", 2.0, 1)}
+
+
+def test_merged_library(spark):
+    rows = [("X12", "C", 2, "B", "Lib", 0, 1), ("Ala", "C", 2, "B", "Lib(generated)", 0, 2), ("meZ", "C", 2, "B", "Other", 1, 3), ("Ala", "N", 2, "B", "Other", 1, 4), ("Q", "O", 1, "T", None, 2, 5), ("n", None, 1, "T", "s", 2, 6)]
+    got = ch.merged_library(spark.createDataFrame(rows, "symbol string, core string, n_rgroups int, monomer_type string, source string, priority int, entry_id long")).collect()
+    assert {(r.core, r.symbol, r.alt_symbols, r.source) for r in got} == {("C", "Ala", "X12;meZ", "Lib(generated)+Other"), ("O", "Q", "", "")}
+
+
+def test_generated_structures(spark):
+    ala, t = "[*:1]N[C@@H](C)C(=O)[*:2]", "symbol string, smiles string"
+    table = lambda *rows: spark.createDataFrame(list(rows), t)
+    wanted = table(*[(x, None) for x in ("A", "dA", "meA", "Me_dA", "dB", "K", "K", "M", None)])
+    got = {r.symbol: (r.smiles, r.origin) for r in ch.generated_structures(wanted, [("first", table(("K", "C"), ("M", None))), ("second", table(("K", "N"), ("M", "O")))], table(("A", ala))).collect()}
+    c = g.canonical_smiles
+    assert got == {
+        "A": (c(ala), "generated"), "dA": (c("[*:1]N[C@H](C)C(=O)[*:2]"), "generated"), "meA": (c("[*:1]N(C)[C@@H](C)C(=O)[*:2]"), "generated"),
+        "Me_dA": (c("[*:1]N(C)[C@H](C)C(=O)[*:2]"), "generated"), "dB": (None, "none"), "K": ("C", "first"), "M": ("O", "second"),
+    }
+
+
+def test_pair_features(spark):
+    rows = [("CCO", "AAC", "x"), ("CCO", "AAC", "y"), ("broken(", "A", None), ("CC", "", None), (None, "A", None)]
+    got = ch.pair_features(spark.createDataFrame(rows, "s string, q string, features string"), "s", "q").collect()
+    assert len(got) == 1
+    f, bits = got[0].features, g.fingerprint(g.parse("CCO"))
+    assert len(f) == 2048 + 21 and [i for i, x in enumerate(f[:2048]) if x] == bits and abs(f[2048] - 2 / 3) < 1e-9 and f[-1] == 3 / 3000

@@ -229,3 +229,59 @@ def test_size_of_the_library_does_not_change_the_counts(spark, small, monkeypatc
     want = q.helm_normalize_stats(spark, small).collect()
     monkeypatch.setattr(q, "fits", lambda *_: False)
     assert q.helm_normalize_stats(spark, small).collect() == want
+
+
+def test_negatives_of_splits(spark):
+    """From a split's own ids, no positive of any split, no pair twice; the order of the splits matters."""
+    from strandloom.operators import splits
+
+    rows = [(f"c{i % 23}", f"t{i % 7}", "train" if i % 5 else "test") for i in range(60)]
+    pos = spark.createDataFrame(sorted(set(rows)), "c string, t string, split string").dropDuplicates(["c", "t"])
+    known = {(r.c, r.t) for r in pos.collect()}
+    got = splits.split_negatives(pos, "c", "t", "split", ["test", "train"], 2, 7).collect()
+    assert len({(r.c, r.t) for r in got}) == len(got) and not known & {(r.c, r.t) for r in got}
+    for split in ("train", "test"):
+        own = pos.where(f"split = '{split}'").collect()
+        cs, ts = {r.c for r in own}, {r.t for r in own}
+        mine = [r for r in got if r.split == split]
+        assert mine and all(r.c in cs and r.t in ts for r in mine)
+    turned = splits.split_negatives(pos, "c", "t", "split", ["train", "test"], 2, 7).collect()
+    assert {tuple(r) for r in turned} != {tuple(r) for r in got}
+
+
+def test_remap_beyond_a_constant_map(spark, small, monkeypatch):
+    """A library too large for a constant map gives the same rows by a join."""
+    from strandloom.plans import helm_queries
+
+    want = sorted(map(tuple, helm_queries.helm_alt_remap(spark, small).collect()))
+    monkeypatch.setattr(helm_queries, "fits", lambda *a, **k: False)
+    assert sorted(map(tuple, helm_queries.helm_alt_remap(spark, small).collect())) == want
+
+
+def test_mlp_against_the_formula(spark):
+    from math import erf, sqrt
+
+    from strandloom.operators import vectors
+
+    layer = ([[0.5, -1.0], [2.0, 0.25]], [0.1, -0.3], [1.5, 0.5], [0.0, 0.2])
+    rows = [(1, [0.3, -1.2]), (2, [7.0, 0.0])]
+    got = {r.k: r.output for r in vectors.mlp(spark.createDataFrame(rows, "k long, x array<double>"), "k", "x", [layer], ([1.0, -2.0], 0.5)).collect()}
+    for k, x in rows:
+        u = [sum(x[i] * layer[0][i][j] for i in range(2)) + layer[1][j] + x[j] for j in range(2)]
+        u = [0.5 * v * (1 + erf(v / sqrt(2))) for v in u]
+        mean = sum(u) / 2
+        spread = sqrt(sum((v - mean) ** 2 for v in u) / 2 + 1e-5)
+        y = [(v - mean) / spread * layer[2][j] + layer[3][j] for j, v in enumerate(u)]
+        assert abs(got[k] - (y[0] - 2 * y[1] + 0.5)) < 1e-9
+
+
+def test_vector_hops(spark):
+    from strandloom.operators import vectors
+
+    pairs = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "b", "x"), (4, None, "x")], "row long, c string, t string")
+    reps = spark.createDataFrame([("a", "x", 9), ("b", "x", 8)], "c string, t string, rep_id long")
+    stored = spark.createDataFrame([(9, [1.0])], "rep_id long, vector array<double>")
+    assert sorted((r.row, r.vector[0]) for r in vectors.by_representative(pairs, ["c", "t"], reps, stored).collect()) == [(1, 1.0), (2, 1.0)]
+    rows = spark.createDataFrame([("p", [2.0]), ("q", None), ("r", None)], "text string, given array<double>")
+    keyed = spark.createDataFrame([("q", [3.0])], "text string, vector array<double>").selectExpr("md5(text) AS key", "vector")
+    assert {r.text: r.vector for r in vectors.dispatched(rows, "text", "given", keyed).collect()} == {"p": [2.0], "q": [3.0], "r": None}

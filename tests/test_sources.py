@@ -84,3 +84,15 @@ def test_streams(spark, small, tmp_path):
     parsed = inc.parsed_stream(stream).writeStream.format("memory").queryName("p").trigger(availableNow=True).start()
     parsed.awaitTermination(120)
     assert spark.table("p").count() == rows.count()
+
+
+def test_configuration_files_and_checkpoints(spark, tmp_path):
+    from strandloom.sources import readers as r
+
+    (tmp_path / "base.yaml").write_text("train:\n  lr: 0.1\n  steps: 5\nname: a\n")
+    (tmp_path / "task.yaml").write_text("train:\n  lr: 0.2\n")
+    paths = [f"file://{tmp_path}/{x}.yaml" for x in ("base", "none", "task")]
+    assert r.layered_files(spark, *paths, overrides=["train.steps=7"]) == {"train": {"lr": 0.2, "steps": 7}, "name": "a"}
+    assert list(r.existing(dict(zip("abc", paths)), spark)) == ["a", "c"]
+    table = spark.createDataFrame([("m/one", 1, 0.5), ("m/two", 2, 0.3), ("m/three", 3, 0.3), ("m/four", 4, None)], "path string, step long, val_loss double")
+    assert [r.resolved_checkpoint(table, x) for x in ("best", "last", "one", "nowhere")] == ["m/three", "m/four", "m/one", None]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 from bisect import bisect_left, bisect_right
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -34,34 +35,51 @@ def strengths(pieces: list[tuple[str, int]], token_bytes: list[int], raw: bytes)
     out = np.full(len(ends), IN_CHARACTER, np.int64)
     out[1:-1] = np.where(inner, IN_WORD, IN_CHARACTER)
     out[0] = out[-1] = PARAGRAPH
-    at, lines, mark = 0, 0, ""  # the lines ended in the white space just before, and the character before that
-    for k, (piece, n) in enumerate(pieces[:-1]):
-        at += n
-        body = piece.rstrip()
-        if body:
-            mark, lines = body[-1], 0
-        lines += piece[len(body):].count("\n")
-        after = pieces[k + 1][0]
-        space = piece[-1:].isspace() or after[:1].isspace()
-        if not after.strip() and "\n" in after or after[:1].isspace() and piece[-1:].isspace():
-            out[at] = BETWEEN_PIECES  # the white space goes on: better cut at its end
-        elif lines > 1:
-            out[at] = PARAGRAPH
-        elif lines == 1:
-            out[at] = LINE
-        elif mark in WIDE_ENDS or mark in SENTENCE_ENDS and space:
-            out[at] = SENTENCE if mark in "。！？" or mark in SENTENCE_ENDS else CLAUSE
-        elif mark in CLAUSE_ENDS and space:
-            out[at] = CLAUSE
-        elif space:
-            out[at] = BETWEEN_WORDS
-        elif unicodedata.combining(after[0]):
-            out[at] = IN_WORD
+    lines, mark = 0, ""  # the lines ended in the white space just before, and the character before that
+    found = []
+    known = _KNOWN.get
+    for (piece, _), (after, _) in zip(pieces, pieces[1:]):
+        if piece[-1].isspace():
+            body = piece.rstrip()
+            if body:
+                mark, lines = body[-1], 0
+            lines += piece[len(body) :].count("\n")
+            found.append(_between(mark, lines, True, after))
         else:
-            out[at] = BETWEEN_PIECES
+            mark, lines = piece[-1], 0
+            s = known((mark, after))
+            if s is None:
+                if len(_KNOWN) >= KNOWN_PAIRS:
+                    _KNOWN.clear()
+                s = _KNOWN[mark, after] = _between(mark, 0, False, after)
+            found.append(s)
+    if found:
+        out[np.cumsum([n for _, n in pieces[:-1]])] = found
     return out
 
 
+#: Strengths between a piece that ends in a character and the next piece, as kept by one Python worker.
+_KNOWN: dict[tuple[str, str], int] = {}
+KNOWN_PAIRS = 200_000
+
+
+def _between(mark: str, lines: int, blank_before: bool, after: str) -> int:
+    """Strength before the piece ``after``: ``mark`` is the last character that is not blank, ``lines`` the lines ended since."""
+    blank_after = after[:1].isspace()
+    space = blank_before or blank_after
+    if not after.strip() and "\n" in after or blank_after and blank_before:
+        return BETWEEN_PIECES  # the white space goes on: better cut at its end
+    if lines:
+        return PARAGRAPH if lines > 1 else LINE
+    if mark in WIDE_ENDS or mark in SENTENCE_ENDS and space:
+        return SENTENCE if mark in "。！？" or mark in SENTENCE_ENDS else CLAUSE
+    if mark in CLAUSE_ENDS and space:
+        return CLAUSE
+    if space:
+        return BETWEEN_WORDS
+    return IN_WORD if unicodedata.combining(after[0]) else BETWEEN_PIECES
+
+
 class Strongest:
     """Sparse table: the position of the largest value in any range in constant time, the rightmost of equals."""
 
@@ -142,11 +160,11 @@ def pieces_of(text: str | None, e: Encoder, limit: int = LIMIT, overlap: int = O
     raw = (text or "").encode("utf-8")
     if len(raw) <= limit:  # a token has a byte or more
         return []
-    parts = list(e.pieces(text))
-    ids = [i for _, p in parts for i in p]
+    parts = e.pieces(text)
+    ids = list(chain.from_iterable([p for _, p in parts]))
     if len(ids) <= limit:
         return []
-    size = [e.length[i] for i in ids]
+    size = list(map(e.length.__getitem__, ids))
     ends = np.cumsum([0, *size]).tolist()
     own = lambda a, b: raw[ends[a] : ends[b]].decode("utf-8")
     starts = np.cumsum([0, *[len(p) for _, p in parts]]).tolist()

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
 
 import numpy as np
 
@@ -135,10 +134,10 @@ class Encoder:
             grow(get(p) or ids(p))
         return out
 
-    def pieces(self, text: str | None) -> Iterator[tuple[str, list[int]]]:
+    def pieces(self, text: str | None) -> list[tuple[str, list[int]]]:
         """(piece, its ids), in order."""
-        for p in self.find(text or ""):
-            yield p, self._ids(p)
+        get, ids = self.memo.get, self._ids
+        return [(p, get(p) or ids(p)) for p in self.find(text or "")]
 
 
 _ENCODERS: dict[str, Encoder] = {}

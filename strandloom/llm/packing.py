@@ -23,6 +23,8 @@ MAX_SEGMENTS, MAX_LOSS = 256, 1920
 PIECE = 1024
 #: Items packed by one task: what one core packs in seconds.
 BUCKET_ITEMS = 20_000
+#: Steps after which classes that are used up are left out.
+COMPACT = 64
 #: Containers filled less than this are opened again and packed once more with those of other tasks.
 REPACK_BELOW = 0.97
 
@@ -44,23 +46,29 @@ def pack(demand: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray
         waiting[of[i]].append(i)
     left = np.bincount(of, minlength=len(classes))
     share = classes / limits
-    weight = np.average(share, axis=0, weights=left) + 1e-12
-    weighted = share * weight
-    live = np.arange(len(classes))
-    room, at, held, placed = limits.astype(float), 0, 0, 0
+    weighted = share * (np.average(share, axis=0, weights=left) + 1e-12)
+    room, at, held, placed, live = limits.astype(float), 0, 0, 0, np.arange(len(classes))
     while placed < n:
-        live = live[left[live] > 0] if placed % 64 == 0 else live
-        fits = (left[live] > 0) & (classes[live] <= room).all(axis=1)
+        if placed % COMPACT == 0:  # classes that are used up go, so that a step looks at few
+            live = live[left[live] > 0]
+            open_, columns, weights = np.ones(len(live), bool), np.ascontiguousarray(classes[live].T), np.ascontiguousarray(weighted[live].T)
+        fits = open_.copy()
+        for column, r in zip(columns, room):
+            fits &= column <= r
         if fits.any():
-            c = live[np.where(fits, weighted[live] @ (room / limits), -1).argmax()]
+            score = sum(w * r for w, r in zip(weights, room / limits))
+            score[~fits] = -1
+            k = int(score.argmax())
         elif held:
             room, at, held = limits.astype(float), at + 1, 0
             continue
         else:  # larger than a container in some way
-            c = live[np.argmax(left[live] > 0)]
+            k = int(open_.argmax())
+        c = live[k]
         i = waiting[c].pop()
         container[i], position[i] = at, held
         left[c] -= 1
+        open_[k] = left[c] > 0
         room, held, placed = room - classes[c], held + 1, placed + 1
     return container, position
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,8 +67,11 @@ def token_counts(texts: DataFrame, key: str = "doc_id", text: str = "text", voca
             n, prompt = [], []
             for t in batch.column(text):
                 t = t.as_py() or ""
-                n.append(len(e.encode(t)))
-                prompt.append(min(len(e.encode(prompt_of(t))), n[-1]))
+                first = prompt_of(t)
+                parts = e.pieces(t) if first else None  # whole pieces up to the prompt's end
+                n.append(sum([len(p) for _, p in parts]) if first else len(e.encode(t)))
+                ends = accumulate(len(p) for p, _ in parts) if first else ()
+                prompt.append(sum(len(p) for (_, p), end in zip(parts or (), ends) if end <= len(first)))
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(n, pa.int64()), pa.array(prompt, pa.int64())], [key, "n_tokens", "n_prompt"])
 
     return spread(texts.select(key, text)).mapInArrow(count, f"`{key}` {kind}, n_tokens long, n_prompt long")

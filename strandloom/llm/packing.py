@@ -18,9 +18,9 @@ from .token_ids import token_counts
 CAPACITY = 2048
 #: Texts a container may hold, and tokens in it that bear loss (15 of 16).
 MAX_SEGMENTS, MAX_LOSS = 256, 1920
-#: Tokens of the pieces that a text larger than a container is cut into: half a container, so that pieces that bear loss
+#: Tokens of the pieces that a text larger than a container is cut into: a quarter of a container, so that pieces that bear loss
 #: throughout can be put together with texts that have a prompt.
-PIECE = 1024
+PIECE = 512
 #: Items packed by one task: what one core packs in seconds.
 BUCKET_ITEMS = 20_000
 #: Steps after which classes that are used up are left out.

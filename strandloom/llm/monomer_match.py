@@ -153,25 +153,61 @@ def entities(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, written(found, "entities")
 
 
+def _near_blocks(words: Column, symbol: Column) -> Column:
+    """Hashes under which names of one length meet if one word at most differs: it stands in one quarter of the name, so all
+    words without that quarter are equal. Of names of up to five words too little is left, so there the symbol must be equal
+    too, or all words. A clash of hashes costs a look at a pair, no more."""
+    n = F.size(words)
+    at = lambda i: F.floor(n * i / 4).cast("int")
+    rest = [F.concat(F.slice(words, F.lit(1), at(i)), F.slice(words, at(i + 1) + 1, n)) for i in range(4)]
+    long = F.array(*[F.xxhash64(n, F.lit(i), r) for i, r in enumerate(rest)])
+    short = F.array(F.xxhash64(n, words), *[F.when(symbol.isNotNull(), F.xxhash64(n, F.lit(i), r, symbol)) for i, r in enumerate(rest)])
+    return F.array_distinct(F.array_compact(F.when(n > 5, long).otherwise(short)))
+
+
+ATTRIBUTES = ("key", "n_groups", "cut", "written", "named", "words", "symbol", "kind")
+
+
+def _side(rows: DataFrame, side: str) -> DataFrame:
+    """The rows of one side, their entity as column ``side``, their attributes with its name behind."""
+    return rows.where(F.col("side") == side).withColumnsRenamed({"entity": side} | {c: f"{c}_{side}" for c in rows.columns if c in (*ATTRIBUTES, "poor", "mute")}).drop("side")
+
+
 def candidates(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(a, b, one_name): pairs of entities with one structure; where one of them lacks a structure, also those that share a
-    full name, a symbol, or the first or last five words of the name."""
-    poor = found.select("side", "entity", F.col("key").isNull().alias("poor"))
-    words = F.col("words")
-    blocks = [F.concat(F.lit("n:"), "name"), F.concat(F.lit("y:"), "symbol"), F.concat(F.lit("f:"), F.array_join(F.slice(words, 1, 5), " ")), F.when(F.size(words) >= 5, F.concat(F.lit("l:"), F.array_join(F.slice(words, -5, 5), " ")))]
-    keys = members.select("side", "entity", F.explode(F.array_compact(F.array(*blocks))).alias("block")).distinct().join(poor, ["side", "entity"])
-    a, b = (keys.where(F.col("side") == s).select("block", F.col("entity").alias(s), F.col("poor").alias(f"poor_{s}")) for s in "ab")
-    # Only pairs with a poor side are looked for, so a common symbol costs poor times rest.
-    loose = a.where("poor_a").join(b, "block").unionByName(a.where("NOT poor_a").join(b.where("poor_b"), "block"))
-    loose = loose.groupBy("a", "b").agg(F.max(F.col("block").startswith("n:")).alias("one_name"))
-    of = lambda s: found.where((F.col("side") == s) & F.col("key").isNotNull()).select("key", F.col("entity").alias(s))
-    return loose.unionByName(of("a").join(of("b"), "key").select("a", "b", F.lit(False).alias("one_name")))
+    """(a, b, theta): pairs of entities with one structure; where one of them lacks a structure, also those that share a
+    full name, a name but for one word, or a symbol, if their attributes say more for them than against them.
+
+    Pairs under a symbol are judged where they meet, and two other names are not looked at there: they outweigh a symbol and
+    all that may go with it, and equal or near names meet by themselves. So what is kept of a table does not grow with the
+    square of the rows that share a symbol or the first words of a name, but only of those that say nothing else.
+    """
+    bare = found.select("side", "entity", *ATTRIBUTES, F.col("key").isNull().alias("poor"), F.col("words").isNull().alias("mute"))
+    own = lambda c: members.where(c + " IS NOT NULL").select("side", "entity", "name", "words", "symbol").join(bare.select("side", "entity", "poor"), ["side", "entity"])
 
+    def meet(keys: DataFrame) -> DataFrame:  # only pairs with a poor side are looked for
+        a, b = (_side(keys.distinct(), s) for s in "ab")
+        return a.where("poor_a").join(b, "block").unionByName(a.where("NOT poor_a").join(b.where("poor_b"), "block")).select("a", "b")
 
-def odds(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """(a, b, theta): what the attributes say of each pair, as log-odds. Equal structures outweigh all else."""
+    named = meet(own("name").select("side", "entity", "poor", F.col("name").alias("block"))).withColumn("one_name", F.lit(True))
+    near = meet(own("words").select("side", "entity", "poor", F.explode(_near_blocks(F.col("words"), F.col("symbol"))).alias("block"))).distinct().withColumn("one_name", F.lit(False))
+    pairs = named.unionByName(near)
     for s in "ab":
-        pairs = pairs.join(found.where(F.col("side") == s).select(F.col("entity").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n_groups", "cut", "written", "named", "words", "symbol", "kind")]), s)
+        pairs = pairs.join(_side(bare, s), s)
+    # Each row of a meets the classes of b with which it is a pair that has a poor and a mute side.
+    poor, mute = F.col("poor"), F.col("mute")
+    by = members.where("symbol IS NOT NULL").select("side", "entity", F.col("symbol").alias("block")).distinct().join(bare.drop("words").withColumn("words", F.lit(None).cast("array<string>")), ["side", "entity"])
+    kinds = F.array(*[F.when((poor | F.lit(bool(p))) & (mute | F.lit(bool(m))), F.lit(2 * p + m)) for p in (0, 1) for m in (0, 1)])
+    a = _side(by.withColumn("class", F.explode(F.array_compact(kinds))), "a")
+    b = _side(by.withColumn("class", 2 * poor.cast("int") + mute.cast("int")), "b")
+    symbols = a.join(b, ["block", "class"]).withColumn("one_name", F.lit(False))
+    loose = judged(pairs).unionByName(judged(symbols)).groupBy("a", "b").agg(F.max("theta").alias("theta"))  # one name says more than none
+    of = lambda s: found.where((F.col("side") == s) & F.col("key").isNotNull()).select("key", F.col("entity").alias(s))
+    return loose.unionByName(of("a").join(of("b"), "key").select("a", "b", F.lit(min(LIMIT, PRIOR + STRUCTURE)).alias("theta")))
+
+
+def judged(pairs: DataFrame) -> DataFrame:
+    """(a, b, theta): what the attributes say of pairs that are not both whole structures, as log-odds; only of pairs for which
+    they say more than against them."""
     share = F.udf(lambda ca, wa, cb, wb: contained(ca, wb) if ca else contained(cb, wa), "double", useArrow=True)
     both = lambda c: F.col(f"{c}_a").isNotNull() & F.col(f"{c}_b").isNotNull()
     same = lambda c, w: F.when(both(c), F.when(F.col(f"{c}_a") == F.col(f"{c}_b"), w[0]).otherwise(w[1])).otherwise(0.0)
@@ -179,11 +215,11 @@ def odds(pairs: DataFrame, found: DataFrame) -> DataFrame:
     near = F.when(both("words") & (F.size("words_a") == F.size("words_b")) & (aligned <= 1), NEAR_NAME[0]).when(both("words"), NEAR_NAME[1]).otherwise(0.0)
     name = F.when(F.col("one_name"), NAME[0]).when(F.col("named_a") & F.col("named_b"), NAME[1]).otherwise(near)
     inside = F.when(F.col("c") >= CONTAINED[0][0], CONTAINED[0][1]).when(F.col("c") >= CONTAINED[1][0], CONTAINED[1][1]).when(F.col("c").isNotNull(), CONTAINED[2][1]).otherwise(0.0)
-    got = pairs.withColumn("c", F.when(~both("key"), share("cut_a", "written_a", "cut_b", "written_b")))
     inside = F.when(F.col("one_name"), F.greatest(inside, F.lit(0.0))).otherwise(inside)  # a full name outweighs another way to write a cut text
-    poor = name + same("symbol", SYMBOL) + same("n_groups", GROUPS) + same("kind", KIND) + inside
-    theta = F.lit(PRIOR) + F.when(both("key"), STRUCTURE).otherwise(poor)
-    return got.select("a", "b", F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), theta)).alias("theta"))
+    rest = name + same("symbol", SYMBOL) + same("n_groups", GROUPS) + same("kind", KIND)
+    got = pairs.select("a", "b", "one_name", "cut_a", "written_a", "cut_b", "written_b", rest.alias("rest")).where(F.col("rest") + CONTAINED[0][1] > 0)
+    got = got.withColumn("c", share("cut_a", "written_a", "cut_b", "written_b")).select("a", "b", (F.lit(PRIOR) + F.col("rest") + inside).alias("theta"))
+    return got.where(F.col("theta") > PRIOR).withColumn("theta", F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("theta"))))
 
 
 def marginals(pairs: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -225,7 +261,7 @@ def match(a: DataFrame, a_columns: dict[str, str], b: DataFrame, b_columns: dict
     alike. Empty tables give no pairs.
     """
     members, found = entities(features([("a", a, a_columns), ("b", b, b_columns)]))
-    scored = marginals(odds(candidates(members, found), found))
+    scored = marginals(written(candidates(members, found), "candidates"))
     side = lambda s: members.where(F.col("side") == s).select(F.col("entity").alias(s), F.col("id").alias(f"id_{s}"))
     return scored.join(side("a"), "a").join(side("b"), "b").select("id_a", "id_b", "confidence")
 

@@ -129,3 +129,39 @@ def test_one_to_one_between_records(spark, monkeypatch):
 def test_messages_settle_without_a_bound(spark):
     pairs = spark.createDataFrame([("a", "x", 2.0), ("a", "y", 1.5), ("b", "x", 1.0), ("b", "y", 1.9), ("c", "y", 19.0), ("c", "x", 18.0)], "a string, b string, theta double")
     assert m.marginals(pairs).count() == 6
+
+
+def entity_tables(spark, a, b):
+    return m.entities(m.features([("a", spark.createDataFrame(a, A), m.CYCPEPT), ("b", spark.createDataFrame(b, B), m.CHEMBL)]))
+
+
+def test_candidates_do_not_grow_with_the_square_of_a_symbol(spark):
+    """All rows share their symbol and the first five words of their name, and none has a structure; only equal names are
+    looked at further."""
+    units = ("chloro", "ynyl", "difluoro", "carbamoyl")
+    names = [f"L-N-methyl-oxa-thia-{x}-{y}-{z}-alanine" for x in units for y in units for z in units]
+    a = [(i, "meOxThCl", n, None, None, "Backbone", 2, None) for i, n in enumerate(names)]
+    b = [(100 + i, "meOxThCl", n.upper(), None, None, "Backbone", 2, None) for i, n in enumerate(names)]
+    assert m.candidates(*entity_tables(spark, a, b)).count() == len(names)
+    got = m.match(spark.createDataFrame(a, A), m.CYCPEPT, spark.createDataFrame(b, B), m.CHEMBL).where("confidence > 0.5").collect()
+    assert sorted((r.id_a, r.id_b) for r in got) == [(i, 100 + i) for i in range(len(names))]
+
+
+def test_names_meet_wherever_one_word_differs(spark):
+    """The one word stands among the first five as well as the last five."""
+    name = lambda w: f"L-oxa-thia-aza-{w}-ynyl-difluoro-carbamoyl-alanine"
+    a = [(1, "Mono1", name("zzzqq"), None, None, "Backbone", 2, None)]
+    b = [(100, "X1", name("chloro"), None, None, "Backbone", 2, None), (101, "X2", name("zzzqq") + "-amide", None, None, "Backbone", 2, None)]
+    got = m.match(spark.createDataFrame(a, A), m.CYCPEPT, spark.createDataFrame(b, B), m.CHEMBL).where("confidence > 0.5").collect()
+    assert [(r.id_a, r.id_b) for r in got] == [(1, 100)]
+
+
+def test_rows_without_a_name_meet_by_symbol(spark):
+    """A symbol alone is a weak reason, but one; with another name on either side it is none, and texts not there meet nothing."""
+    whole = "[*:1]N[C@@H](CC(C)(C)CSCC(F)(F)C)C(=O)[*:2]"
+    a = [(1, "dAbCd", None, None, whole, "Backbone", 2, None), (2, "dAbCd", None, None, None, "Backbone", 2, None), (3, "dAbCd", "D-oxa-thia-alanine", None, None, "Backbone", 2, None), (4, None, None, None, None, None, None, None)]
+    b = [(11, "dAbCd", "D-chloro-ynyl-alanine", None, whole, "Backbone", 2, None), (12, "dAbCd", None, None, None, "Backbone", 2, None), (13, None, None, None, None, None, None, None)]
+    members, found = entity_tables(spark, a, b)
+    of = {r.entity: r.id for r in members.collect()}
+    got = {(of[r.a], of[r.b]): r.theta for r in m.candidates(members, found).collect()}
+    assert got == {(1, 11): m.LIMIT, (1, 12): -2.0, (2, 11): -2.0, (2, 12): -2.0, (3, 12): -2.0}
